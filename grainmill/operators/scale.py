@@ -13,12 +13,28 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.session import order_buckets
+from grainmill.session import fresh_path, order_buckets, small_rows
 
 SAMPLE_PER_BUCKET = 16
 SLICES = 1000
 
 
+def settle(df: DataFrame, name: str = "step") -> DataFrame:
+    """Writes `df` under the shared folder and returns the written table.
+
+    For small or narrow intermediates that are read more than once: the work behind them is done a single
+    time, a lost executor does not bring it back, and their real size is known to the next plan.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_small(stored: DataFrame) -> bool:
+    """Whether a written table is small enough for one task (its row count comes from file footers)."""
+    return stored.count() <= small_rows(stored.sparkSession)
+
+
 def scalars(row: DataFrame) -> Column:
     """The single row of `row` as a struct column, usable in any other table (a scalar subquery, no join)."""
     return row.select(F.struct(*[F.col(f"`{c}`") for c in row.columns])).scalar()
@@ -48,31 +64,40 @@ def attach_by_key(
     spread_by: Sequence[str],
     how: str = "left",
 ) -> DataFrame:
-    """Joins `stats` (one row per key) to `rows`, splitting keys that hold a large share of the rows.
+    """Joins `stats` (one row per key, `weight` = how many of the rows have the key) to `rows`.
 
-    `weight` is the column of `stats` with the number of rows of the key. A key with more than one
-    thousandth of the total weight is cut into slices of that size: its rows are spread by a hash of
-    `spread_by` (columns that identify a row) and its one `stats` row is copied once per slice.
-    Fewer than `SLICES` keys can be that heavy, which bounds the broadcast list of heavy keys.
+    `stats` is written first, so that its size is known. A small one is broadcast. Beyond that, keys with a large share of the rows are split: a key with more than one thousandth of the total weight
+    is cut into slices of that size, its rows spread by a hash of `spread_by` (columns that identify a row)
+    and its one `stats` row copied once per slice. Fewer than `SLICES` keys can be that heavy, which bounds
+    the broadcast list of heavy keys.
     """
+    stats = settle(stats, "stats")
+    payload = [c for c in stats.columns if c not in keys and c != weight]
+    if is_small(stats):
+        right = F.broadcast(
+            stats.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *payload)
+        )
+        joined = rows.join(right, same_keys(rows, right, keys, "__r_"), how)
+        return joined.drop(*[f"__r_{k}" for k in keys])
     total = scalars(stats.agg(F.sum(weight).alias("t")))["t"]
-    heavy = stats.where(F.col(weight) * SLICES > total).select(
-        *[F.col(k).alias(f"__h_{k}") for k in keys],
-        F.ceil(F.col(weight) * SLICES / total).cast("int").alias("__slices"),
+    heavy = F.broadcast(
+        stats.where(F.col(weight) * SLICES > total).select(
+            *[F.col(k).alias(f"__h_{k}") for k in keys],
+            F.ceil(F.col(weight) * SLICES / total).cast("int").alias("__slices"),
+        )
     )
     cut = F.coalesce(F.col("__slices"), F.lit(1))
-    heavy = F.broadcast(heavy)
     left = rows.join(heavy, same_keys(rows, heavy, keys, "__h_"), "left").select(
         *[rows[c] for c in rows.columns],
         F.pmod(F.xxhash64(*[rows[c] for c in spread_by]), cut).cast("int").alias("__slice"),
     )
     right = stats.join(heavy, same_keys(stats, heavy, keys, "__h_"), "left").select(
-        *[stats[c].alias(f"__r_{c}" if c in keys else c) for c in stats.columns if c != weight],
+        *[stats[k].alias(f"__r_{k}") for k in keys],
+        *[stats[c].alias(c) for c in payload],
         F.explode(F.sequence(F.lit(0), cut - 1)).alias("__r_slice"),
     )
     on = same_keys(left, right, keys, "__r_") & (left["__slice"] == right["__r_slice"])
-    joined = left.join(right, on, how)
-    return joined.drop("__slice", "__r_slice", *[f"__r_{k}" for k in keys])
+    return left.join(right, on, how).drop("__slice", "__r_slice", *[f"__r_{k}" for k in keys])
 
 
 def _edges(df: DataFrame, key: Column, buckets: int) -> DataFrame:
@@ -140,16 +165,26 @@ def running_weight(
     by: Sequence[str] = (),
     before: str = "before",
     total: str | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Adds `before`: the summed `weight` (default 1 per row) of the rows of the same `by` group that
     come earlier in ascending `order`; optionally `total`, the sum over the group.
 
     `(by, order)` must identify a row. The order is cut into ranges over all groups together, so a group
     with a third of the rows also gets a third of the ranges, and no task sorts more than one range.
+    The table is read three times; unless it is `stored` already, it is written once before. A small table
+    skips all this and is sorted as it is.
     """
-    src = df.withColumn("__w", F.lit(1).cast("long") if weight is None else F.col(weight))
-    # the filter keeps all three uses of `src` on the same columns, so its shuffle can be read again
-    src = src.where(F.col("__w").isNotNull())
+    src = df if stored else settle(df, "ordered")
+    small = is_small(src)
+    src = src.withColumn("__w", F.lit(1).cast("long") if weight is None else F.col(weight))
+    if small:
+        group = Window.partitionBy(*by)
+        earlier = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        out = src.withColumn(before, F.coalesce(F.sum("__w").over(earlier), F.lit(0)))
+        if total:
+            out = out.withColumn(total, F.sum("__w").over(group))
+        return out.drop("__w")
     key = F.struct(*[F.col(c) for c in (*by, *order)])
     cut = _bucketed(src, key, order_buckets(df.sparkSession))
     joined = _join_starts(cut, _bucket_starts(cut, by, "__w"), by)
@@ -163,17 +198,23 @@ def running_weight(
 
 
 def row_positions(
-    df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "pos", total: str | None = None
+    df: DataFrame,
+    order: Sequence[str],
+    by: Sequence[str] = (),
+    name: str = "pos",
+    total: str | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Adds the 1-based position of each row in ascending `order`, within `by` groups if given."""
-    return running_weight(df, order, by=by, before=name, total=total).withColumn(name, F.col(name) + 1)
+    placed = running_weight(df, order, by=by, before=name, total=total, stored=stored)
+    return placed.withColumn(name, F.col(name) + 1)
 
 
 def value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), type_: str = "double") -> DataFrame:
-    """(by, name, value, n) over the non-missing values of `cols`."""
+    """(by, name, value, n); missing values are counted too."""
     narrow = df.select(*by, *[F.col(f"`{c}`").cast(type_).alias(c) for c in cols])
     long = narrow.unpivot([F.col(b) for b in by], list(cols), "name", "value")
-    return key_counts(long.where(F.col("value").isNotNull()), [*by, "name", "value"])
+    return key_counts(long, [*by, "name", "value"])
 
 
 def exact_quantiles(
@@ -184,13 +225,19 @@ def exact_quantiles(
     Values are counted first, ranges of values are then sized, and only ranges that hold a wanted rank
     are sorted. No task ever holds all values of a column or group.
     """
-    return quantiles_of_counts(value_counts(df, cols, by), probs, by)
+    return quantiles_of_counts(settle(value_counts(df, cols, by), "counts"), probs, by)
 
 
 def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """`exact_quantiles` of a table (by, name, value, n) of values already counted."""
-    counts = counts.where(F.col("n") > 0)
+    """`exact_quantiles` of a stored table (by, name, value, n) of values already counted."""
+    small = is_small(counts)
+    counts = counts.where(F.col("value").isNotNull())
     group = [*by, "name"]
+    if small:
+        at = F.array(*[F.lit(float(p)) for p in probs])
+        return counts.groupBy(*group).agg(
+            F.sum("n").alias("n"), F.percentile("value", at, F.col("n")).alias("q")
+        )
     key = F.struct(*[F.col(c) for c in (*group, "value")])
     cut = _bucketed(counts, key, order_buckets(counts.sparkSession))
     starts = _bucket_starts(cut, group, "n")
@@ -240,7 +287,7 @@ def modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFra
 
     Values are compared as strings. Built on counts per value, so a group never sits in one buffer.
     """
-    counts = value_counts(df, cols, by, "string")
+    counts = value_counts(df, cols, by, "string").where(F.col("value").isNotNull())
     best = F.struct(-F.col("n"), F.col("value"))
     return counts.groupBy(*by, "name").agg(
         F.min_by("value", best).alias("value"), F.max("n").alias("n"), F.sum("n").alias("rows")

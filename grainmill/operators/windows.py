@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from grainmill.operators.scale import (
     attach_by_key,
-    exact_quantiles,
-    key_counts,
     quantiles_of_counts,
     same_keys,
     scalars,
+    settle,
+    value_counts,
 )
 
 
@@ -38,10 +38,10 @@ def first_row_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str
 
 def group_quantile(df: DataFrame, by: Sequence[str], col: str, p: float, name: str) -> DataFrame:
     """(by, name, rows): exact quantile per group and the number of rows of the group."""
-    q = exact_quantiles(df, [col], [p], by).select(*by, F.element_at("q", 1).alias(name))
-    sizes = key_counts(df, by, "rows")
-    right = sizes.select(*[F.col(b).alias(f"__q_{b}") for b in by], "rows")
-    return q.join(right, same_keys(q, right, by, "__q_")).select(*by, name, "rows")
+    counts = settle(value_counts(df, [col], by), "counts")
+    q = quantiles_of_counts(counts, [p], by).select(*by, F.element_at("q", 1).alias(name))
+    sizes = counts.groupBy(*[F.col(b).alias(f"__q_{b}") for b in by]).agg(F.sum("n").alias("rows"))
+    return q.join(sizes, same_keys(q, sizes, by, "__q_")).select(*by, name, "rows")
 
 
 def attach_group_median(
@@ -66,11 +66,11 @@ def quantile_tiers(
     df: DataFrame, by: Sequence[str], col: str, low: float = 0.2, high: float = 0.8
 ) -> DataFrame:
     """(by, median, rows, tier): groups tiered by their median against quantiles of that median over ROWS."""
-    groups = group_quantile(df, by, col, 0.5, "median")
+    groups = settle(group_quantile(df, by, col, 0.5, "median"), "groups")
     counts = groups.groupBy(F.lit("median").alias("name"), F.col("median").alias("value")).agg(
         F.sum("rows").alias("n")
     )
-    cut = scalars(quantiles_of_counts(counts, [low, high]))["q"]
+    cut = scalars(quantiles_of_counts(settle(counts, "counts"), [low, high]))["q"]
     return groups.withColumn("__cut", cut).select(
         *by, "median", "rows", tier(F.col("median"), F.get("__cut", 0), F.get("__cut", 1)).alias("tier")
     )

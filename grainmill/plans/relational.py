@@ -161,7 +161,7 @@ def bind_columns(t):
 
 @query(
     "group_stat_join",
-    f"""with {HOUSES} select id, neighborhood, median(sale_price) over (partition by neighborhood) as median_sp from houses""",
+    f"""with {HOUSES} select id, neighborhood, round(median(sale_price) over (partition by neighborhood), 4) as median_sp from houses""",
 )
 def group_stat_join(t):
     h = houses(t).select("id", "neighborhood", "sale_price")

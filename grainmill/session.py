@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SMALL_ROWS = "grainmill.small.rows"
 
 
 def build_session(app: str = "grainmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,3 +52,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def order_buckets(spark: SparkSession) -> int:
     """How many ranges a global order is cut into: follows the shuffle partitions, within fixed bounds."""
     return min(4096, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def small_rows(spark: SparkSession) -> int:
+    """A table of up to this many rows may be broadcast or sorted in one task; larger ones are cut up."""
+    return int(spark.conf.get(SMALL_ROWS, "100000"))
