@@ -57,32 +57,28 @@ GRID_HALF = 10
 def box_cox_lambdas(df: DataFrame, cols: Sequence[str], rounds: int = 4, width: float = 2.0) -> DataFrame:
     """(name, lambda, llf): power per column that maximises the profile likelihood of Box-Cox on x + 1.
 
-    Each round scores a grid of 21 powers for all columns in ONE aggregate and the next round looks ten
-    times closer around the best one. The number of passes is `rounds`, whatever the number of columns.
+    Each round scores 21 powers for all columns in ONE aggregate; the next round looks ten times closer
+    around the best one. Between rounds one number per column comes to the driver.
     """
-    x = {c: F.col(c).cast("double") + 1 for c in cols}
-    best = None
+    rows = df.select(*[(F.col(c).cast("double") + 1).alias(c) for c in cols])
+    rows = rows.select("*", F.explode(F.sequence(F.lit(-GRID_HALF), F.lit(GRID_HALF))).alias("__j"))
+    centre = {c: 0.0 for c in cols}
     step = width / GRID_HALF
-    for _ in range(rounds):
-        src = df.select(*cols) if best is None else with_scalars(df.select(*cols), best)
-        centre = {c: F.lit(0.0) if best is None else F.col(f"__s.{c}.lambda") for c in cols}
-        offsets = [i * step for i in range(-GRID_HALF, GRID_HALF + 1)]
-        aggs = []
-        for c in cols:
-            aggs.append(F.sum(F.log(x[c])).alias(f"logs_{c}"))
-            aggs.append(F.count(x[c]).alias(f"n_{c}"))
-            aggs.append(F.max(centre[c]).alias(f"centre_{c}"))
-            aggs += [F.var_pop(box_cox(x[c], centre[c] + o)).alias(f"v{i}_{c}") for i, o in enumerate(offsets)]
-        wide = src.agg(*aggs)
-        picks = []
-        for c in cols:
-            scored = []
-            for i, o in enumerate(offsets):
-                lam = F.col(f"centre_{c}") + o
-                llf = (lam - 1) * F.col(f"logs_{c}") - F.col(f"n_{c}") / 2 * F.log(F.col(f"v{i}_{c}"))
-                scored.append(F.struct(llf.alias("llf"), lam.alias("lambda")))
-            picks.append(F.array_max(F.array(*scored)).alias(c))
-        best = wide.select(*picks)
+    best = None
+    for left in reversed(range(rounds)):
+        lam = {c: F.lit(centre[c]) + F.col("__j") * step for c in cols}
+        scored = rows.groupBy("__j").agg(
+            *[F.sum(F.log(c)).alias(f"logs_{c}") for c in cols],
+            *[F.count(c).alias(f"n_{c}") for c in cols],
+            *[F.var_pop(box_cox(F.col(c), lam[c])).alias(f"v_{c}") for c in cols],
+        )
+        llf = {
+            c: (lam[c] - 1) * F.col(f"logs_{c}") - F.col(f"n_{c}") / 2 * F.log(F.col(f"v_{c}")) for c in cols
+        }
+        best = scored.agg(*[F.max(F.struct(llf[c].alias("llf"), lam[c].alias("lambda"))).alias(c) for c in cols])
+        if left:
+            found = best.first()
+            centre = {c: found[c]["lambda"] for c in cols}
         step = step / GRID_HALF
     return best.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"{c}.lambda"), F.col(f"{c}.llf")) for c in cols]))
