@@ -191,10 +191,9 @@ def running_weight(
     inside = (
         Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = joined.withColumn(before, F.col("__start") + F.coalesce(F.sum("__w").over(inside), F.lit(0)))
-    if total:
-        out = out.withColumn(total, F.col("__total"))
-    return out.drop("__w", "__bucket", "__size", "__start", "__total")
+    earlier = (F.col("__start") + F.coalesce(F.sum("__w").over(inside), F.lit(0))).alias(before)
+    kept = [*df.columns, earlier, *([F.col("__total").alias(total)] if total else [])]
+    return joined.select(*kept)
 
 
 def row_positions(

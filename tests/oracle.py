@@ -75,6 +75,11 @@ def main(argv):
     )
     spark.sparkContext.setLogLevel("ERROR")
     plans, sqls = entry.queries(), entry.oracle_sql()
+    argv = list(argv)
+    if "--large" in argv:  # treat every table as too large to broadcast or to sort in one task
+        argv.remove("--large")
+        spark.conf.set("grainmill.small.rows", "0")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
     names = argv[1:] or list(plans)
     con = connect(folder)
     failed = 0
