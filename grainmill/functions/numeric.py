@@ -15,6 +15,11 @@ def box_cox(x: Column, lam: Column | float) -> Column:
     return F.when(F.abs(lam) < 1e-12, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam)
 
 
+def box_cox_of_log(log_x: Column, lam: Column) -> Column:
+    """Box-Cox from the logarithm of x; exact near lam = 0."""
+    return F.when(F.abs(lam) < 1e-12, log_x).otherwise(F.expm1(lam * log_x) / lam)
+
+
 def box_cox1p(x: Column, lam: float) -> Column:
     """Box-Cox of 1 + x with a given power."""
     return F.log1p(x) if lam == 0 else (F.pow(x + 1, F.lit(float(lam))) - 1) / lam

@@ -63,9 +63,29 @@ def any_word(words: Iterable[str]) -> str:
     return "|".join(re.escape(w) for w in sorted(words, reverse=True))
 
 
+def word_tree(words: Iterable[str]) -> str:
+    """Pattern for any of the words with shared beginnings written once, so that a text position is tried
+    against a few letters instead of the whole list. The longest word that fits is taken."""
+    tree: dict = {}
+    for word in set(words):
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def write(node: dict) -> str:
+        branches = [re.escape(k) + write(v) for k, v in sorted(node.items()) if k]
+        if not branches:
+            return ""
+        group = f"(?:{'|'.join(branches)})"
+        return group + "?" if "" in node else group
+
+    return write(tree)
+
+
 def remove_words(col: Column, words: Iterable[str]) -> Column:
     """Deletes whole-word matches; the blanks around them stay."""
-    return F.regexp_replace(col, rf"(?U)\b(?:{any_word(words)})\b", "")
+    return F.regexp_replace(col, rf"(?U)\b{word_tree(words)}\b", "") if words else col
 
 
 def remove_punctuation(col: Column) -> Column:

@@ -13,7 +13,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.session import fresh_path, order_buckets, small_rows
+from grainmill.session import broadcast_rows, fresh_path, order_buckets, task_rows
 
 SAMPLE_PER_BUCKET = 16
 SLICES = 1000
@@ -30,9 +30,19 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_small(stored: DataFrame) -> bool:
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Redistributes a plain table scan by a unique key if it has fewer partitions than there are cores.
+
+    For work that is heavy per row (patterns, tokens) on a table stored in few pieces. A table in many
+    pieces passes unchanged, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores, key)
+
+
+def fits_task(stored: DataFrame) -> bool:
     """Whether a written table is small enough for one task (its row count comes from file footers)."""
-    return stored.count() <= small_rows(stored.sparkSession)
+    return stored.count() <= task_rows(stored.sparkSession)
 
 
 def scalars(row: DataFrame) -> Column:
@@ -73,7 +83,7 @@ def attach_by_key(
     """
     stats = settle(stats, "stats")
     payload = [c for c in stats.columns if c not in keys and c != weight]
-    if is_small(stats):
+    if stats.count() <= broadcast_rows(stats.sparkSession):
         right = F.broadcast(
             stats.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *payload)
         )
@@ -176,7 +186,7 @@ def running_weight(
     skips all this and is sorted as it is.
     """
     src = df if stored else settle(df, "ordered")
-    small = is_small(src)
+    small = fits_task(src)
     src = src.withColumn("__w", F.lit(1).cast("long") if weight is None else F.col(weight))
     if small:
         group = Window.partitionBy(*by)
@@ -229,7 +239,7 @@ def exact_quantiles(
 
 def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """`exact_quantiles` of a stored table (by, name, value, n) of values already counted."""
-    small = is_small(counts)
+    small = fits_task(counts)
     counts = counts.where(F.col("value").isNotNull())
     group = [*by, "name"]
     if small:

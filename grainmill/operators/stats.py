@@ -86,14 +86,20 @@ def correlation(a: Column, b: Column) -> Column:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(x, y, r): lower triangle without diagonal, all pairs in ONE aggregate."""
-    pairs = list(combinations(cols, 2))
-    wide = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    """(x, y, r): lower triangle without diagonal, all pairs in ONE pass.
+
+    Each row is laid out as its pairs of values and summed up per pair inside the task; a single wide
+    aggregate over all pairs would be too large for Spark to compile.
+    """
     entries = [
-        F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(f"p{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)
+        F.struct(
+            F.lit(b).alias("x"), F.lit(a).alias("y"),
+            F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"),
+        )
+        for a, b in combinations(cols, 2)
     ]
-    return wide.select(F.inline(F.array(*entries)))
+    pairs = df.select(F.inline(F.array(*entries)))
+    return pairs.groupBy("x", "y").agg(correlation(F.col("a"), F.col("b")).alias("r"))
 
 
 def corr_with_target(df: DataFrame, cols: Sequence[str], target: str, k: int, weakest: bool = True) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import lcm
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as tx
-from grainmill.operators.scale import attach_by_key, key_counts, row_positions, scalars
-from grainmill.operators.windows import top_n_ties
+from grainmill.operators.scale import attach_by_key, row_positions, scalars
 
 
 def word_list(spark: SparkSession, words: Sequence[str], name: str = "word") -> DataFrame:
@@ -152,22 +153,14 @@ def lookup_vectors(words: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def mean_embedding(counts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(id, word, n) and (word, vec, doc_count) -> (id, dim, value): mean vector of the words of a document
+    """(id, word, n) and (word, vec, doc_count) -> (id, features): mean vector of the words of a document
     that have one, weighted by how often they occur."""
-    stats = vectors.select("word", "vec", F.col("doc_count").alias("__docs"))
+    stats = vectors.select(
+        "word", array_to_vector(F.col("vec").cast("array<double>")).alias("vec"), F.col("doc_count").alias("__docs")
+    )
     coded = attach_by_key(counts, stats, ["word"], "__docs", ["id"], how="inner")
-    long = coded.select("id", "n", F.posexplode("vec").alias("dim", "v"))
-    return long.groupBy("id", "dim").agg((F.sum(F.col("n") * F.col("v").cast("double")) / F.sum("n")).alias("value"))
-
-
-def top_terms(counts: DataFrame, by: str, k: int) -> DataFrame:
-    """(by, word, n): the `k` most frequent words per group, ties kept."""
-    return top_n_ties(counts, [by], "n", k)
-
-
-def frequent_words(tokens: DataFrame, more_than: int, name: str = "word") -> DataFrame:
-    """(word, n) of words with more than `more_than` rows."""
-    return key_counts(tokens, [name]).where(F.col("n") > more_than)
+    weighted = Summarizer.mean(F.col("vec"), F.col("n").cast("double"))
+    return coded.groupBy("id").agg(weighted.alias("features"))
 
 
 def count_of(df: DataFrame) -> Column:

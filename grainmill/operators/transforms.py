@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.functions.numeric import box_cox, centred
-from grainmill.operators.scale import quantile_row, with_scalars
+from grainmill.functions.numeric import box_cox, box_cox_of_log, centred
+from grainmill.operators.scale import quantile_row, settle, spread, with_scalars
 
 
 def by_scalars(df: DataFrame, row: DataFrame, make: Callable[[str], dict[str, Column]], cols: Sequence[str]) -> DataFrame:
@@ -58,9 +58,11 @@ def box_cox_lambdas(df: DataFrame, cols: Sequence[str], rounds: int = 4, width:
     """(name, lambda, llf): power per column that maximises the profile likelihood of Box-Cox on x + 1.
 
     Each round scores 21 powers for all columns in ONE aggregate; the next round looks ten times closer
-    around the best one. Between rounds one number per column comes to the driver.
+    around the best one. Between rounds one number per column comes to the driver. The logarithms are
+    written once, as every round reads them.
     """
-    rows = df.select(*[(F.col(c).cast("double") + 1).alias(c) for c in cols])
+    logs = df.select(F.monotonically_increasing_id().alias("__id"), *[F.log1p(F.col(c).cast("double")).alias(c) for c in cols])
+    rows = spread(settle(logs, "logs"), "__id").drop("__id")
     rows = rows.select("*", F.explode(F.sequence(F.lit(-GRID_HALF), F.lit(GRID_HALF))).alias("__j"))
     centre = {c: 0.0 for c in cols}
     step = width / GRID_HALF
@@ -68,9 +70,9 @@ def box_cox_lambdas(df: DataFrame, cols: Sequence[str], rounds: int = 4, width:
     for left in reversed(range(rounds)):
         lam = {c: F.lit(centre[c]) + F.col("__j") * step for c in cols}
         scored = rows.groupBy("__j").agg(
-            *[F.sum(F.log(c)).alias(f"logs_{c}") for c in cols],
+            *[F.sum(c).alias(f"logs_{c}") for c in cols],
             *[F.count(c).alias(f"n_{c}") for c in cols],
-            *[F.var_pop(box_cox(F.col(c), lam[c])).alias(f"v_{c}") for c in cols],
+            *[F.var_pop(box_cox_of_log(F.col(c), lam[c])).alias(f"v_{c}") for c in cols],
         )
         llf = {
             c: (lam[c] - 1) * F.col(f"logs_{c}") - F.col(f"n_{c}") / 2 * F.log(F.col(f"v_{c}")) for c in cols

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from grainmill.functions import cleaning, encode
@@ -231,4 +232,5 @@ def lookup_vectors(t):
 def mean_embedding(t):
     vectors = ranked_with_vectors(t)
     found = textmine.mean_embedding(textmine.doc_term_counts(tweets(t)), vectors)
-    return found.select("id", "dim", r("value").alias("value"))
+    long = found.select("id", F.posexplode(vector_to_array("features")).alias("dim", "v"))
+    return long.select("id", "dim", r("v").alias("value"))

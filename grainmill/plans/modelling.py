@@ -305,7 +305,7 @@ def train_word_vectors(t):
 def embedding_classifier(t):
     """Averaged word vectors, a dense layer of 16, two classes."""
     means = textmine.mean_embedding(textmine.doc_term_counts(labelled(t)), ranked_with_vectors(t))
-    vectors = settle(models.long_to_vector(means).join(labelled(t).select("id", "target"), "id"), "vectors")
+    vectors = settle(means.join(labelled(t).select("id", "target"), "id"), "vectors")
     parts = resample.random_split(vectors, "id", 0.75, 3)
     model = MultilayerPerceptronClassifier(labelCol="target", layers=[64, 16, 2], maxIter=40, seed=3)
     trained = model.fit(parts.where("part = 'train'"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from grainmill.operators import resample
-from grainmill.operators.scale import quantile_row, with_scalars
+from grainmill.operators.scale import quantile_row, settle, with_scalars
 from grainmill.plans.registry import query
 from grainmill.plans.roles import HOUSES, LABELLED, houses, labelled, r
 from grainmill.recipe import steps
@@ -17,7 +17,8 @@ _LEVELS = ["None", "5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
 
 
 def _parts(t, *cols):
-    h = houses(t).select("id", *cols)
+    # written once: every step that learns reads the training rows
+    h = settle(houses(t).select("id", *cols), "houses")
     return h.where(F.col("id") % 4 != 0), h.where(F.col("id") % 4 == 0)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.operators.scale import spread
 from grainmill.sources.tables import Tables
 
 
@@ -66,7 +67,7 @@ houses as (
 
 def tweets(t: Tables) -> DataFrame:
     """Documents with the class from `labels`; documents without a label are the test set."""
-    d, y = t.documents, t.labels
+    d, y = spread(t.documents, "doc_id"), t.labels
     return d.join(y, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("keyword"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import cleaning
 from grainmill.functions import text as tx
+from grainmill.operators.scale import spread
 from grainmill.plans.registry import query
 from grainmill.plans.roles import TWEETS, tweets
 from grainmill.plans.words import STOP_ENGLISH, STOP_OTHER, sql_list
@@ -224,8 +225,8 @@ _RAW_SQL = "raw as (select page_id as id, url || ' %20 @_ab ' || html || chr(13)
 
 def _raw(t):
     made = F.concat(F.col("url"), F.lit(" %20 @_ab "), F.col("html"), F.lit("\r\n#tag1 "), F.col("url"))
-    pages = t.pages.select(F.col("page_id").alias("id"), made.alias("text"))
-    return pages.unionByName(t.documents.select((-1 - F.col("doc_id")).alias("id"), "text"))
+    pages = spread(t.pages, "page_id").select(F.col("page_id").alias("id"), made.alias("text"))
+    return pages.unionByName(spread(t.documents, "doc_id").select((-1 - F.col("doc_id")).alias("id"), "text"))
 
 
 def _cleaned(t, rules):

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-SMALL_ROWS = "grainmill.small.rows"
+BROADCAST_ROWS = "grainmill.broadcast.rows"
+TASK_ROWS = "grainmill.task.rows"
 
 
 def build_session(app: str = "grainmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,6 +55,11 @@ def order_buckets(spark: SparkSession) -> int:
     return min(4096, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def small_rows(spark: SparkSession) -> int:
-    """A table of up to this many rows may be broadcast or sorted in one task; larger ones are cut up."""
-    return int(spark.conf.get(SMALL_ROWS, "100000"))
+def broadcast_rows(spark: SparkSession) -> int:
+    """A written table of up to this many rows may be sent to every executor."""
+    return int(spark.conf.get(BROADCAST_ROWS, "100000"))
+
+
+def task_rows(spark: SparkSession) -> int:
+    """A written table of up to this many narrow rows may be sorted or counted up in one task."""
+    return int(spark.conf.get(TASK_ROWS, "500000"))
