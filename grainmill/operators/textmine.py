@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as tx
-from grainmill.operators.scale import attach_by_key, row_positions, scalars
+from grainmill.operators.scale import attach_by_key, key_counts, row_positions, scalars
 
 
 def word_list(spark: SparkSession, words: Sequence[str], name: str = "word") -> DataFrame:
@@ -41,30 +41,25 @@ def without_stopwords(tokens: DataFrame, *lists: Sequence[str], name: str = "wor
 
 
 def doc_term_counts(df: DataFrame, text: str = "text", id_: str = "id") -> DataFrame:
-    """(id, word, n). All words of a document come from one row, so they are counted inside the row:
-    sorted, cut where the word changes, exploded once per distinct word. No shuffle."""
-    arrays = df.select(id_, F.sort_array(tx.tokens(F.col(text))).alias("__t"))
-    arrays = arrays.where(F.size("__t") > 0)
-    cuts = F.filter(
-        F.sequence(F.lit(1), F.size("__t")),
-        lambda i: (i == 1) | (F.get("__t", i - 1) != F.get("__t", i - 2)),
-    )
-    arrays = arrays.withColumn("__a", cuts)
-    ends = F.concat(F.slice("__a", F.lit(2), F.size("__a")), F.array(F.size("__t") + 1))
-    runs = arrays.select(id_, "__t", F.explode(F.arrays_zip(F.col("__a").alias("a"), ends.alias("b"))).alias("__r"))
-    return runs.select(
-        id_,
-        F.get("__t", F.col("__r.a") - 1).alias("word"),
-        (F.col("__r.b") - F.col("__r.a")).cast("long").alias("n"),
-    )
+    """(id, word, n). The words of a document are counted up in the task that reads it; rows already
+    partitioned by id (after a join on it) are not shuffled again, here or in later windows over the id."""
+    return key_counts(unnest_tokens(df, text, [id_]), [id_, "word"])
 
 
 def vocabulary(df: DataFrame, text: str = "text", id_: str = "id") -> DataFrame:
-    """(word, term_count, doc_count) with a single shuffle, on words already summed per task."""
-    return (
-        doc_term_counts(df, text, id_)
-        .groupBy("word")
-        .agg(F.sum("n").alias("term_count"), F.count(F.lit(1)).alias("doc_count"))
+    """(word, term_count, doc_count) with a single shuffle, on words already summed per task.
+
+    The words of a document are sorted inside its row; the first of equal neighbours counts the document,
+    so no pair of document and word ever leaves the task.
+    """
+    arrays = df.select(F.sort_array(tx.tokens(F.col(text))).alias("__t"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("__t", F.lit(1), F.greatest(F.size("__t") - 1, F.lit(0))))
+    words = arrays.select(F.inline(F.arrays_zip(F.col("__t").alias("word"), before.alias("__before"))))
+    # an empty text zips to one row without a word
+    words = words.where(F.col("word").isNotNull())
+    new = F.when(F.col("__before").isNull() | (F.col("__before") != F.col("word")), 1).otherwise(0)
+    return words.groupBy("word").agg(
+        F.count(F.lit(1)).alias("term_count"), F.sum(new.cast("long")).alias("doc_count")
     )
 
 
