@@ -78,7 +78,8 @@ def fill_line(df: DataFrame, col: str, x: str, rounded: bool = False) -> DataFra
 
 def fill_regression(df: DataFrame, col: str, numeric: Sequence[str], categories: Sequence[str]) -> DataFrame:
     """Missing values become the prediction of a linear model on several columns, fitted on the rows
-    that have a value. Predictor values must be present; unseen levels are kept in a bucket of their own."""
+    that have a value. Predictor values must be present. Every level has its own column and takes the place
+    of the intercept; a level not seen among the known rows adds nothing."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import LinearRegression
@@ -93,7 +94,8 @@ def fill_regression(df: DataFrame, col: str, numeric: Sequence[str], categories:
         ]
     stages += [
         VectorAssembler(inputCols=[*numeric, *dummy], outputCol="__x"),
-        LinearRegression(featuresCol="__x", labelCol=col, predictionCol="__guess", regParam=1e-6),
+        LinearRegression(featuresCol="__x", labelCol=col, predictionCol="__guess",
+                         fitIntercept=not categories, regParam=0.0, tol=1e-10, maxIter=500),
     ]
     known = settle(df.where(F.col(col).isNotNull()).select(col, *numeric, *categories), "known")
     model = Pipeline(stages=stages).fit(known)

@@ -23,15 +23,16 @@ def keep_ids(df: DataFrame, ids: DataFrame, id_: str) -> DataFrame:
 
 def level_row(df: DataFrame, cols: Sequence[str], most: int = 10_000) -> DataFrame:
     """One row with the sorted distinct values of each column, for columns of few levels; a column with
-    more than `most` levels raises."""
-    agg = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in cols])
-    checked = [
-        F.when(F.size(c) <= most, F.col(c)).otherwise(
-            F.raise_error(F.lit(f"{c} has more than {most} levels")).cast(agg.schema[c].dataType)
-        ).alias(c)
-        for c in cols
-    ]
-    return agg.select(*checked)
+    more than `most` levels raises, and no task collects more than `most + 1` of them."""
+
+    def levels(c: str) -> DataFrame:
+        some = df.where(F.col(c).isNotNull()).select(c).distinct().limit(most + 1)
+        found = some.agg(F.sort_array(F.collect_list(c)).alias(c))
+        kind = found.schema[c].dataType
+        error = F.raise_error(F.lit(f"{c} has more than {most} levels")).cast(kind)
+        return found.select(F.when(F.size(c) <= most, F.col(c)).otherwise(error).alias(c))
+
+    return df.sparkSession.range(1).select(*[levels(c).scalar().alias(c) for c in cols])
 
 
 def expand_grid(values: DataFrame) -> DataFrame:

@@ -114,14 +114,19 @@ def cooccurrence(df: DataFrame, text: str = "text", window: int = 5, keep: Colum
     return pairs.groupBy("term_a", "term_b").agg((F.sum("__w") / unit).alias("weight"))
 
 
-def ranked_vocabulary(vocab: DataFrame) -> DataFrame:
-    """Adds `rank`: 1 for the most frequent word, ties in word order."""
+def ranked_vocabulary(vocab: DataFrame, top: int | None = None) -> DataFrame:
+    """Adds `rank`: 1 for the most frequent word, ties in word order. With `top`, only that many words:
+    a bounded top-k instead of a global order."""
     ordered = vocab.withColumn("__neg", -F.col("term_count"))
+    if top is not None:
+        first = ordered.orderBy("__neg", "word").limit(top)
+        return first.withColumn("rank", F.row_number().over(Window.orderBy("__neg", "word"))).drop("__neg")
     return row_positions(ordered, ["__neg", "word"], name="rank").drop("__neg")
 
 
 def encode_sequences(df: DataFrame, ranked: DataFrame, num_words: int | None = None, text: str = "text") -> DataFrame:
     """(id, seq): array of word ranks in text order, only ranks below `num_words`; [] if none is left."""
+    df = df.select("id", text)
     words = df.select("id", F.posexplode(tx.tokens(F.col(text))).alias("pos", "word"))
     stats = ranked if num_words is None else ranked.where(F.col("rank") < num_words)
     stats = stats.select("word", F.col("rank").cast("int").alias("rank"), "term_count")

@@ -90,11 +90,16 @@ def fill_regression(t):
     return filled.select("id", r("lot_frontage").alias("lot_frontage"))
 
 
-@query("fill_regression_factors")
+@query(
+    "fill_regression_factors",
+    f"""{_H}, s as (select id, lot_frontage as y, ln(coalesce(lot_area, 0) + 1) as x, neighborhood as g from houses),
+        m as (select g, avg(x) as mx, avg(y) as my from s where y is not null group by g),
+        b as (select sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) as b from s join m on s.g = m.g where y is not null)
+        select id, round(coalesce(y, my + b * (x - mx)), 4) as lot_frontage from s join m on s.g = m.g, b""",
+)
 def fill_regression_factors(t):
-    """Several predictors, one of them a category: log area and neighborhood."""
-    src = _h(t, "lot_frontage", "neighborhood", "status").join(
-        houses(t).select("id", F.log1p("lot_area").alias("log_area")), "id"
-    )
-    filled = impute.fill_regression(src.na.fill({"log_area": 0.0}), "lot_frontage", ["log_area"], ["neighborhood", "status"])
-    return filled.select("id", r("lot_frontage").alias("lot_frontage"))
+    """Two predictors, one of them a category: log area and neighborhood. The SQL solves the same least
+    squares problem from the deviations within the neighborhoods."""
+    h = houses(t).select("id", "lot_frontage", "neighborhood", F.log1p(F.coalesce("lot_area", F.lit(0.0))).alias("log_area"))
+    filled = impute.fill_regression(h, "lot_frontage", ["log_area"], ["neighborhood"])
+    return filled.select("id", r("lot_frontage", 4).alias("lot_frontage"))

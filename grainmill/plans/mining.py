@@ -164,8 +164,8 @@ _SEQ = f"""{_RANKED}, arrays as (select id, regexp_extract_all(lower(text), '{WO
 
 def _sequences(t):
     w = tweets(t)
-    ranked = textmine.ranked_vocabulary(textmine.vocabulary(w))
-    return textmine.encode_sequences(w.select("id", "text"), ranked, 500)
+    ranked = textmine.ranked_vocabulary(textmine.vocabulary(w), top=499)
+    return textmine.encode_sequences(w, ranked, 500)
 
 
 @query(
@@ -206,7 +206,7 @@ _VECTORS = f"{_RANKED}, vectors as (select word, term_count, rank, embedding fro
 
 def ranked_with_vectors(t):
     """(word, term_count, doc_count, rank, vec): the most frequent words with their vectors."""
-    ranked = textmine.ranked_vocabulary(textmine.vocabulary(tweets(t)))
+    ranked = textmine.ranked_vocabulary(textmine.vocabulary(tweets(t)), top=t.embeddings.count())
     vecs = t.embeddings.select((F.col("vec_id") + 1).alias("rank"), F.col("embedding").alias("vec"))
     return ranked.join(vecs, "rank")
 

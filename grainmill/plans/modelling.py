@@ -21,7 +21,7 @@ from grainmill.operators import metrics, models, resample, textmine
 from grainmill.operators.scale import settle
 from grainmill.plans.mining import ranked_with_vectors
 from grainmill.plans.registry import query
-from grainmill.plans.roles import houses, labelled, rides, tweets
+from grainmill.plans.roles import LABELLED, RIDES, houses, labelled, r, rides, tweets
 from grainmill.session import fresh_path
 from grainmill.sources import files
 
@@ -59,6 +59,7 @@ def _rides(t):
             "season": F.col("season").cast("string"),
             "weather": F.col("weather").cast("string"),
             "temp2": F.col("temp") * F.col("temp"),
+            "workday": F.col("workingday").cast("string"),
         }
     )
     src = resample.kfold(resample.random_split(src, "id", 0.75, 29), "id", 3, 11)
@@ -85,16 +86,30 @@ def _text_stages():
 # ---- linear models -----------------------------------------------------------------------------
 
 
-@query("ols_formula")
+def _split_sql(col, seed):
+    return f"cast('0x' || substr(md5({col} || ':{seed}'), 1, 8) as bigint) < 3221225472"
+
+
+@query(
+    "ols_formula",
+    f"""with {RIDES}, s as (select id, ln(registered + 1) as y, temp as x, temp * temp as z, weather || '-' || workingday as g, {_split_sql('id', 29)} as train from rides),
+        m as (select g, avg(x) as mx, avg(z) as mz, avg(y) as my from s where train group by g),
+        k as (select sum((x - mx) * (x - mx)) as xx, sum((x - mx) * (z - mz)) as xz, sum((z - mz) * (z - mz)) as zz, sum((x - mx) * (y - my)) as xy,
+              sum((z - mz) * (y - my)) as zy from s join m on s.g = m.g where train),
+        b as (select (xy * zz - zy * xz) / (xx * zz - xz * xz) as bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) as bz from k)
+        select id, round(exp(y) - 1, 4) as actual, round(exp(my + bx * (x - mx) + bz * (z - mz)) - 1, 4) as pred from s join m on s.g = m.g, b where not train""",
+)
 def ols_formula(t):
-    """Factors, interactions and a square, by formula; predictions back on the scale of the counts."""
+    """Factors, their interaction, a number and its square, by formula; predictions back on the scale of the
+    counts. The SQL solves the same least squares problem from the deviations within the factor cells."""
     train, new = _rides(t)
     formula = RFormula(
-        formula="y ~ weather + workingday:weather + season + season:weather + hour + temp + temp2",
-        featuresCol="features", labelCol="y", handleInvalid="keep",
+        formula="y ~ weather:workday + temp + temp2", featuresCol="features", labelCol="y", handleInvalid="error"
     )
-    _, scored = models.fit_and_score([formula], LinearRegression(labelCol="y", regParam=0.0), train, new, "y")
-    return scored.select("id", F.expm1("y").alias("actual"), F.expm1("prediction").alias("pred"))
+    # one column per cell of the two factors takes the place of the intercept: full rank, solved directly
+    model = LinearRegression(labelCol="y", regParam=0.0, fitIntercept=False, solver="normal")
+    _, scored = models.fit_and_score([formula], model, train, new, "y")
+    return scored.select("id", r(F.expm1("y"), 4).alias("actual"), r(F.expm1("prediction"), 4).alias("pred"))
 
 
 def _penalised(t, mix, penalty):
@@ -269,7 +284,14 @@ def component_model_sum(t):
 # ---- vectors -----------------------------------------------------------------------------------
 
 
-@query("assemble_features")
+@query(
+    "assemble_features",
+    f"""with {LABELLED} select id, cast(length(text) as double) as character_count, cast(len(regexp_extract_all(text, '#')) as double) as hashtag_count,
+        cast(contains(text, '#') as double) as has_hashtag, cast(len(regexp_extract_all(text, '@')) as double) as mention_count, cast(contains(text, '@') as double) as has_mention,
+        cast(len(regexp_extract_all(text, 'https?://')) as double) as link_count, cast(regexp_matches(text, 'https?://') as double) as has_link,
+        cast(len(regexp_extract_all(text, '{tx.WORD_CHAR}+')) as double) as word_count, cast(len(list_distinct(string_split(text, ' '))) as double) as unique_words
+        from labelled where {_split_sql('id', 3)}""",
+)
 def assemble_features(t):
     """Numeric text features and the sparse TF-IDF vector in one vector; shown: the numeric part."""
     train, _ = _texts(t)

@@ -129,10 +129,8 @@ def anti_join_stopwords(t):
 )
 def semi_join_ids(t):
     w = tweets(t)
-    words = textmine.doc_term_counts(w)
-    frequent = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > 500)
-    # one row per (document, word) on the left; the words over the limit on the right
-    kept = words.join(frequent.select("word"), "word", "left_semi")
+    frequent = textmine.prune_vocabulary(textmine.vocabulary(w), term_count_min=501)
+    kept = textmine.restrict_to_vocabulary(textmine.doc_term_counts(w), frequent)
     return joins.keep_ids(w.select("id", "keyword", "target"), kept, "id")
 
 

@@ -124,9 +124,7 @@ def group_median_quantile(t):
     )
 
 
-@query(
-    "group_quantile_approx",
-)
+@query("group_quantile_approx")
 def group_quantile_approx(t):
     """The sketch variant: bounded memory and one shuffle, for when an error of 1 in 10,000 ranks is fine."""
     return t.events.groupBy("event_type").agg(F.percentile_approx("value", [0.5, 0.8], 10_000).alias("q"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_FILE = 500_000
+ROWS_PER_FILE = 50_000
 
 
 def read_csv(
