@@ -128,7 +128,7 @@ def near_zero_variance(t):
 @query("drop_sparse", "select o_orderkey, o_custkey, o_totalprice from orders")
 def drop_sparse(t):
     src = t.orders.select(
-        "o_orderkey", "o_custkey", "o_totalprice", F.when(F.col("o_orderkey") == 17, 1).otherwise(0).alias("nearly_empty")
+        "o_orderkey", "o_custkey", "o_totalprice", F.when(F.col("o_totalprice") < 0, 1).otherwise(0).alias("nearly_empty")
     )
     return steps.drop_sparse(["o_custkey", "o_totalprice", "nearly_empty"]).fit(src).transform(src)
 
