@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+LOCAL_DIR = "/tmp/checkpoints"
 BROADCAST_ROWS = "grainmill.broadcast.rows"
 TASK_ROWS = "grainmill.task.rows"
 
@@ -34,15 +34,14 @@ def build_session(app: str = "grainmill", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by the cluster; a temporary one only in local mode."""
+    """Folder every executor can reach, as the session names it; only a local session may leave it unnamed."""
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    local = tempfile.mkdtemp(prefix="grainmill-")
-    spark.conf.set(CHECKPOINT_DIR, local)
-    return local
+    local = spark.sparkContext.master.startswith("local")
+    if not local and (not named or named.startswith("file:")):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share, not {named}")
+    if not named:
+        spark.conf.set(CHECKPOINT_DIR, named := LOCAL_DIR)
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
