@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import lines, mixing, quality
+from grainmill.llm import lines, mixing, packing, quality, topk
 from grainmill.sources.tables import Tables
 
 QUERIES = {}
 SQL = {}
 
 
+#: Where this package lies; Python workers that see the same files import it from there.
+HOME = str(Path(__file__).resolve().parents[2])
+
+
+def offer(spark: SparkSession) -> None:
+    """Puts the package on the import path of Python workers (a cluster of separate machines gets it by --py-files)."""
+    now = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if HOME not in now.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{HOME}:{now}".rstrip(":")
+
+
 def query(fn=None, *, sql: str | None = None):
     def keep(plan):
-        QUERIES[plan.__name__] = lambda spark, folder: plan(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            offer(spark)
+            return plan(Tables(spark, folder))
+
+        QUERIES[plan.__name__] = run
         if sql:
             SQL[plan.__name__] = sql
         return plan
@@ -90,3 +107,30 @@ from owned group by doc_id
 def op10_line_dedup(t: Tables) -> DataFrame:
     kept = lines.drop_repeated_lines(t.documents.select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@query
+def op1_pack_documents(t: Tables) -> DataFrame:
+    packed = packing.pack(t.documents)
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+TOP_SQL = """
+with sound as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from sound q, sound c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+)
+select query_id, rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
+) where rank <= 5
+"""
+
+
+@query(sql=TOP_SQL)
+def op2_top_inner_products(t: Tables) -> DataFrame:
+    return topk.top_k(t.embeddings, every=50)
