@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import lines, mixing, packing, quality, topk
+from grainmill.llm import lines, mixing, packing, quality, substring, topk, urls
 from grainmill.sources.tables import Tables
 
 QUERIES = {}
@@ -134,3 +134,36 @@ select query_id, rank, vec_id, score from (
 @query(sql=TOP_SQL)
 def op2_top_inner_products(t: Tables) -> DataFrame:
     return topk.top_k(t.embeddings, every=50)
+
+
+URL_SQL = r"""
+with named as (
+  select page_id, coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), '') as raw,
+         coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path
+  from pages
+), lowered as (
+  select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from named
+), rules(verdict, rule_host, rule_path) as (
+  values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), best as (
+  select host, path, max_by(rule_host || rule_path, length(rule_host || rule_path)) as rule,
+         max_by(verdict, length(rule_host || rule_path)) as verdict
+  from (select distinct host, path from lowered) join rules
+    on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by host, path
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
+from lowered left join best using (host, path)
+"""
+
+
+@query(sql=URL_SQL)
+def op5_url_filter(t: Tables) -> DataFrame:
+    """The SQL leaves out redirects: no page of these tables has one. Tests hold them against brute force."""
+    return urls.judge(t.pages)
+
+
+@query
+def op7_substring_dedup(t: Tables) -> DataFrame:
+    return substring.repeated_spans(t.documents)
