@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow as pa
 from grainmill.llm.text import STEP_BYTES
 
 #: A worker remembers the pieces of the last one to two times so many new ones. Longer pieces are not kept.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 LONGEST = 48
 #: A space that touches other white space or an end of the text.
 _LOOSE = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
@@ -34,36 +35,42 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
+        self.lower = not spaced and self._direct(["A"]) == self._direct(["a"])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks = {x: self._direct([x])[0] for x in ",."}
+
+    def _direct(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
 
     def pieces(self, text: str) -> list[str]:
+        if self.lower:  # A-Z alone, which the vocabulary would fold as well
+            text = text.encode().lower().decode()
         parts = text.split(" ") if not _LOOSE.search(text) else _TIGHT.split(text)
         return [parts[0], *[" " + x for x in parts[1:]]] if self.spaced else parts
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of pieces not met lately. A comma or full stop after a letter is a piece of its own."""
+        known, older = self.known, self.older
+        bare = {x: x[:-1] if x[-1:] in self.marks and x[-2:-1].isalpha() else x for x in new}
+        ids = {x: known.get(x) or older.get(x) for x in {*bare.values()}}
+        unmet = [x for x, found in ids.items() if found is None]
+        ids.update(zip(unmet, self._direct(unmet)))
+        found = {x: ids[y] if x is y else ids[y] + self.marks[x[-1]] for x, y in bare.items()}
+        known.update((x, y) for x, y in (ids | found).items() if len(x) <= LONGEST)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(x) for x in texts]
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        new = {x for parts in split for x in parts if x not in known}
-        known.update((x, older[x]) for x in new if x in older)
-        new = [x for x in new if x not in older]
-        once = {}
-        for x, ids in zip(new, self._ids(new)):
-            if len(x) > LONGEST:
-                once[x] = ids
-            else:
-                known[x] = ids
-        if not once:
+        known = self.known
+        new = self._learn({x for parts in split for x in parts if x not in known})
+        long = {x: ids for x, ids in new.items() if len(x) > LONGEST}
+        if not long:
             return [b"".join([known[x] for x in parts]) for parts in split]
-        return [b"".join([known[x] if x in known else once[x] for x in parts]) for parts in split]
+        return [b"".join([long[x] if x in long else known[x] for x in parts]) for parts in split]
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
