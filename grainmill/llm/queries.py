@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import lines, mixing, packing, quality, substring, topk, urls
+from grainmill.llm import lines, mixing, neardup, packing, quality, substring, topk, urls
 from grainmill.sources.tables import Tables
 
 QUERIES = {}
@@ -167,3 +167,43 @@ def op5_url_filter(t: Tables) -> DataFrame:
 @query
 def op7_substring_dedup(t: Tables) -> DataFrame:
     return substring.repeated_spans(t.documents)
+
+
+NEAR_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w
+         else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from words
+), classes as (
+  select min(doc_id) as rep, k, n from (select doc_id, md5(array_to_string(list_sort(s), chr(10))) as k, len(s) as n from sets)
+  where n > 0 group by k, n
+), long as (
+  select rep, n, unnest(s) as x from classes join sets on rep = doc_id
+), pairs as (
+  select p.rep as a, q.rep as b, p.n + q.n as total, count(*) as common
+  from long p join long q on p.x = q.x and p.rep < q.rep and least(p.n, q.n) * 100 >= greatest(p.n, q.n) * 80
+  group by p.rep, q.rep, p.n, q.n
+), links as (
+  select a, b from pairs where 100 * common >= 80 * (total - common)
+), ends as (
+  select a, b from links union all select b, a from links
+), reached as (
+  select rep as a, rep as b from classes
+  union
+  select reached.a, ends.b from reached join ends on reached.b = ends.a
+), smallest as (
+  select a as rep, min(b) as component from reached group by a
+), named as (
+  select doc_id, len(s)::bigint as n_shingles, md5(array_to_string(list_sort(s), chr(10))) as k from sets
+)
+select doc_id, n_shingles, coalesce(component, doc_id)::bigint as component_id,
+       coalesce(component, doc_id) = doc_id as kept
+from named left join classes on named.k = classes.k and n_shingles = n left join smallest using (rep)
+"""
+
+
+@query(sql=NEAR_SQL)
+def op9_near_duplicates(t: Tables) -> DataFrame:
+    return neardup.near_duplicates(t.documents, width=2)
