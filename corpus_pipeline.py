@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import lines, mixing, quality
+from grainmill.llm import lines, mixing, neardup, packing, quality
+from grainmill.llm.queries import offer
 from grainmill.llm.shelf import Shelf
 
 #: The quality bands and the sketches of the stages are beyond SQL; tests hold run() against brute force.
@@ -21,15 +22,35 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(docs).select(*docs.columns)
 
 
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, 0.8): the one of smallest id."""
+    return neardup.drop_near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their ids and their places in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+def _stage(fn):
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        offer(spark)
+        return fn(spark, docs, sf_dir)
+
+    return stage
+
+
 STAGES = [
-    ("quality rules", keep_good),
-    ("line dedup", drop_lines),
-    ("mixing", mix),
+    ("quality rules", _stage(keep_good)),
+    ("line dedup", _stage(drop_lines)),
+    ("near-duplicates", _stage(drop_near)),
+    ("mixing", _stage(mix)),
+    ("packing", _stage(pack)),
 ]
 
 

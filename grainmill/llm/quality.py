@@ -37,11 +37,10 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 def _repeated_lines(data: np.ndarray, offsets: np.ndarray, word_start: np.ndarray) -> np.ndarray:
     """Lines with a word that equal an earlier line of the same text, counted by text."""
-    ends = np.union1d(np.flatnonzero(data == 10), offsets[1:])
-    # A text's last line ends where the next text begins; a break there is a byte of the next text.
-    starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
+    breaks = np.flatnonzero(data == 10)
+    starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     starts = starts[starts < len(data)]
-    stop = ends[np.searchsorted(ends, starts)]
+    stop = np.append(breaks, len(data))[np.searchsorted(breaks, starts)]
     inner = np.searchsorted(offsets, starts, "right") - 1
     stop = np.minimum(stop, offsets[inner + 1])
     full = np.searchsorted(word_start, stop) > np.searchsorted(word_start, starts)

@@ -7,7 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import lines, mixing, neardup, packing, quality, substring, topk, urls
+from grainmill.llm import coder, lines, mixing, neardup, packing, pii, quality, substring, topk, urls
+from grainmill.session import fresh_path
 from grainmill.sources.tables import Tables
 
 QUERIES = {}
@@ -207,3 +208,22 @@ from named left join classes on named.k = classes.k and n_shingles = n left join
 @query(sql=NEAR_SQL)
 def op9_near_duplicates(t: Tables) -> DataFrame:
     return neardup.near_duplicates(t.documents, width=2)
+
+
+@query
+def op4_pii(t: Tables) -> DataFrame:
+    found = pii.find_pii(t.documents)
+    return found.select(
+        "doc_id",
+        *[f"n_{k}" for k in pii.KINDS],
+        F.sha2(pii.spelled("base_spans"), 256).alias("base_sha256"),
+        pii.spelled("spans").alias("spans"),
+    )
+
+
+@query
+def op8_token_files(t: Tables) -> DataFrame:
+    path = fresh_path(t.spark, "tokens")
+    coder.write_tokens(t.documents, path)
+    found = coder.read_tokens(t.spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
