@@ -3,7 +3,8 @@
 What the base patterns find are seed entities. The words in front of a seed are a lexical pattern. A graph of
 mentions links patterns and instances (the identifier-like strings behind them, whether a base pattern knows
 them or not). Scores pass along it in rounds: a pattern is as good as the instances that follow it, set
-against every place in the corpus where its words stand; an instance is as good as the patterns it follows. Patterns
+against every place in the corpus where its words stand (one that stands elsewhere more often than not can
+never be sure, and has no say); an instance is as good as the patterns it follows. Patterns
 that end with a high score find the identifiers no base pattern knows. DataFrame functions alone.
 """
 
@@ -121,10 +122,17 @@ def contextual_spans(texts: DataFrame, base: DataFrame, shelf: Shelf) -> DataFra
     graph = mentions.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
     graph = shelf.keep(graph, "graph")
     backed = graph.where("seed is not null").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds"))
-    backed = shelf.keep(backed.where(F.col("seeds") >= SUPPORT), "backed")
-    places = _standing(texts, backed)
+    backed = backed.where(F.col("seeds") >= SUPPORT).select("pattern")
+    follows = graph.groupBy("pattern").agg(F.sum("n").alias("follow"))
+    backed = shelf.keep(backed.join(follows, "pattern"), "backed")
+    # Most patterns are ordinary words. Those that the documents with mentions alone show to stand elsewhere too
+    # often are left out before places are counted in all documents.
+    near = texts.join(mentions.select(*KEY).distinct(), KEY, "left_semi")
+    may = lambda places: backed.join(places, "pattern").where(F.col("follow") >= SURE * F.col("places"))
+    hopeful = shelf.keep(may(_standing(near, backed)).select("pattern"), "hopeful")
+    places = may(_standing(texts, hopeful)).select("pattern", "places")
     edges = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("edges"))
-    patterns = shelf.keep(backed.join(places, "pattern").join(edges, "pattern"), "patterns")
+    patterns = shelf.keep(places.join(edges, "pattern"), "patterns")
     graph = shelf.keep(lookup(graph, patterns.select("pattern", "places", "edges"), ["pattern"], "edges"), "edges")
     kinds = [F.col("seed").eqNullSafe(k).cast("double").alias(k) for k in KINDS]
     scored = graph.select("pattern", "instance", "n", "places", "seed", *kinds)
