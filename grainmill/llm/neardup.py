@@ -2,8 +2,8 @@
 
 Each shingle is thrown into one of the sketch's bins, round after round; a bin keeps the smallest value of the
 first round that reaches it. In as many further rounds as there are bins, round i throws all shingles into bin
-i, so every coordinate of even the smallest set is filled. Bands of coordinates propose pairs, sketches sort out
-pairs that are far apart, and shared shingles of the full sets are counted for the rest.
+i, so every coordinate of even the smallest set is filled. Bands of coordinates propose pairs, bitmaps and sketches
+sort out pairs that are too far apart, and shared shingles of the full sets are counted for the rest.
 
 Texts with equal sets are one class. Inside a bucket classes are first compared with one leader; links join
 them to components, and only members of different components in one bucket go on being compared: with a
@@ -30,6 +30,9 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: Share of equal coordinates below which a pair is not verified; five standard deviations under 0.8.
 SURE = 0.62
+#: Bits onto which the shingles of a set are thrown. A bit that only one of two sets has stands for a shingle that
+#: only one has, so bits that differ bound the shared shingles from above, without error.
+BITS = 2048
 #: Rounds with leaders of their own, before all remaining pairs of a bucket are compared.
 ROUNDS = 2
 #: Classes in one side of a block.
@@ -85,37 +88,37 @@ def sketch(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(coordinates: np.ndarray) -> np.ndarray:
-    parts = coordinates.reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for j in range(ROWS):
-        key = mix(key * _K + parts[:, j])
-    return key.view(np.int64)
+def bitmap(keys: np.ndarray) -> bytes:
+    out = np.zeros(BITS, bool)
+    out[(keys % np.uint64(BITS)).astype(np.intp)] = True
+    return np.packbits(out).tobytes()
 
 
-SKETCHES = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"
+SKETCHES = "doc_id long, n_shingles long, s1 long, s2 long, sketch binary, bitmap binary"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     other = np.uint64(0xA0761D6478BD642F)
     for batch in batches:
-        n, s1, s2, bands, sketches = [], [], [], [], []
+        n, s1, s2, sketches, bitmaps = [], [], [], [], []
         for _, keys in shingle_sets(batch.column(1), width):
             n.append(len(keys))
             s1.append(int(keys.sum(dtype=np.uint64).view(np.int64)))
             s2.append(int(mix(keys ^ other).sum(dtype=np.uint64).view(np.int64)))
-            if len(keys):
-                coordinates = sketch(keys)
-                bands.append(band_keys(coordinates))
-                sketches.append(mix(coordinates).astype(np.uint16).tobytes())
-            else:
-                bands.append(None)
-                sketches.append(None)
+            sketches.append(mix(sketch(keys)).astype(np.uint16).tobytes() if len(keys) else None)
+            bitmaps.append(bitmap(keys) if len(keys) else None)
         arrays = [
             batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
-            pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
+            pa.array(sketches, pa.binary()), pa.array(bitmaps, pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "s1", "s2", "sketch", "bitmap"])
+
+
+def _band_keys(classes: DataFrame) -> DataFrame:
+    """(rep, n, key), one row for each band of a sketch; a coordinate takes two bytes."""
+    banded = classes.select("rep", F.col("n_shingles").alias("n"), "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    part = F.substring("sketch", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))
+    return banded.select("rep", "n", F.xxhash64("band", part).alias("key"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -132,7 +135,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _compared(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block (rows sorted by block) whose sketches are close and whose components differ."""
+    """Pairs of a block (rows sorted by block) that bitmaps allow, whose sketches are close and whose components differ."""
     names = ["a", "an", "b", "bn"]
 
     def pairs(block: dict) -> pa.RecordBatch | None:
@@ -144,7 +147,10 @@ def _compared(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa
                 100 * np.minimum(n, m) >= similarity * np.maximum(n, m)
             )
             near &= ~block["minor"][right] | (block["rep"][right] > block["rep"][i])
-            found = right[near]
+            found, m = right[near], m[near]
+            apart = np.bitwise_count(block["bitmap"][found] ^ block["bitmap"][i]).sum(1, dtype=np.int64)
+            shared = (n + m - apart) // 2
+            found = found[100 * shared >= similarity * (n + m - shared)]
             same = (block["sketch"][found] == block["sketch"][i]).sum(1)
             for j in found[same >= SURE * BINS]:
                 a, b = (i, j) if block["rep"][i] < block["rep"][j] else (j, i)
@@ -156,6 +162,7 @@ def _compared(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa
     for batch in batches:
         cols = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "i", "j", "side", "rep", "n", "label", "minor")}
         cols["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, BINS)
+        cols["bitmap"] = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         if held is not None:
             cols = {x: np.concatenate([held[x], y]) for x, y in cols.items()}
         new = np.flatnonzero(np.any([cols[x][1:] != cols[x][:-1] for x in ("key", "i", "j")], axis=0)) + 1
@@ -198,11 +205,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy(*of_set).agg(
         F.min("doc_id").alias("rep"),
         F.count(F.lit(1)).alias("rows"),
-        F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch"),
+        F.first("bitmap").alias("bitmap"),
     )
     classes = shelf.keep(classes, "classes")
-    banded = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    narrow = shelf.keep(sketched.select("doc_id", *of_set), "narrow")
+    shelf.drop("sketched")
+    banded = _band_keys(classes)
     size_fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * similarity
     leader = lambda order: F.min(F.struct(order, "rep", "n")).alias("lead")
     buckets = banded.groupBy("key").agg(leader(F.col("rep").alias("o")), F.count(F.lit(1)).alias("c"))
@@ -256,10 +265,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
         "key", F.col("top.label").alias("major"), "total",
         blocks(F.col("total") - F.col("top.g")).alias("ni"), blocks(F.col("total")).alias("nj"),
     )
-    rows = lookup(rows, shelf.keep(major, "major"), ["key"], "total").join(classes.select("rep", "sketch"), "rep")
+    rows = lookup(rows, shelf.keep(major, "major"), ["key"], "total").join(classes.select("rep", "sketch", "bitmap"), "rep")
     rows = rows.withColumns({"minor": F.col("label") != F.col("major"), "h": F.xxhash64("rep")})
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    data = ["rep", "n", "label", "minor", "sketch"]
+    data = ["rep", "n", "label", "minor", "sketch", "bitmap"]
     left = rows.where("minor").select("key", F.pmod("h", "ni").alias("i"), F.explode(upto("nj")).alias("j"), F.lit(0).alias("side"), *data)
     right = rows.select("key", F.explode(upto("ni")).alias("i"), F.pmod("h", "nj").alias("j"), F.lit(1).alias("side"), *data)
     dealt = left.union(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -268,7 +277,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     labels = components(links).withColumnsRenamed({"node": "rep", "component": "label"})
     joined = classes.select(*of_set, "rep", "rows").join(labels, "rep", "left")
     settled = shelf.keep(joined.select(*of_set, "rows", F.coalesce("label", "rep").alias("component")), "settled")
-    narrow = sketched.select("doc_id", *of_set)
     judged = lookup(narrow.where("doc_id is not null"), settled, of_set, "rows", "left")
     judged = judged.unionByName(narrow.where("doc_id is null").withColumn("component", F.lit(None).cast("long")))
     component = F.coalesce("component", "doc_id")
