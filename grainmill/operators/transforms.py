@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions.numeric import box_cox, box_cox_of_log, centred
-from grainmill.operators.scale import quantile_row, settle, spread, with_scalars
+from grainmill.operators.scale import quantile_row, settle, with_scalars
 
 
 def by_scalars(df: DataFrame, row: DataFrame, make: Callable[[str], dict[str, Column]], cols: Sequence[str]) -> DataFrame:
@@ -54,37 +55,41 @@ def log_if_skewed(df: DataFrame, cols: Sequence[str], limit: float = 0.75) -> Da
 GRID_HALF = 10
 
 
-def box_cox_lambdas(df: DataFrame, cols: Sequence[str], rounds: int = 4, width: float = 2.0) -> DataFrame:
+def box_cox_lambdas(df: DataFrame, cols: Sequence[str], exact: float = 2e-4, width: float = 2.0) -> DataFrame:
     """(name, lambda, llf): power per column that maximises the profile likelihood of Box-Cox on x + 1.
 
-    Each round scores 21 powers for all columns in ONE aggregate; the next round looks ten times closer
-    around the best one. Between rounds one number per column comes to the driver. The logarithms are
-    written once, as every round reads them.
+    Each round scores 21 powers per open column in ONE aggregate. While the best of a column is the first or last,
+    its window moves there and doubles; then each round looks closer, down to steps of `exact`. Between
+    rounds 25 numbers per column come to the driver. Lambda and llf of a column without two different values are null.
+    The logarithms are written once, as every round reads them.
     """
-    logs = df.select(F.monotonically_increasing_id().alias("__id"), *[F.log1p(F.col(c).cast("double")).alias(c) for c in cols])
-    rows = spread(settle(logs, "logs"), "__id").drop("__id")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(-GRID_HALF), F.lit(GRID_HALF))).alias("__j"))
-    centre = {c: 0.0 for c in cols}
-    step = width / GRID_HALF
-    best = None
-    for left in reversed(range(rounds)):
-        lam = {c: F.lit(centre[c]) + F.col("__j") * step for c in cols}
-        scored = rows.groupBy("__j").agg(
-            *[F.sum(c).alias(f"logs_{c}") for c in cols],
-            *[F.count(c).alias(f"n_{c}") for c in cols],
-            *[F.var_pop(box_cox_of_log(F.col(c), lam[c])).alias(f"v_{c}") for c in cols],
-        )
-        llf = {
-            c: (lam[c] - 1) * F.col(f"logs_{c}") - F.col(f"n_{c}") / 2 * F.log(F.col(f"v_{c}")) for c in cols
-        }
-        best = scored.agg(*[F.max(F.struct(llf[c].alias("llf"), lam[c].alias("lambda"))).alias(c) for c in cols])
-        if left:
-            found = best.first()
-            centre = {c: found[c]["lambda"] for c in cols}
-        step = step / GRID_HALF
-    return best.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"{c}.lambda"), F.col(f"{c}.llf")) for c in cols]))
-    )
+    logs = settle(df.select(*[F.log1p(F.col(c).cast("double")).alias(c) for c in cols]), "logs")
+    base = width / GRID_HALF
+    window = {c: (0.0, base) for c in cols}
+    found: dict[str, tuple[float | None, float | None]] = {}
+    while window:
+        powers = {c: [centre + j * step for j in range(-GRID_HALF, GRID_HALF + 1)] for c, (centre, step) in window.items()}
+        sums = [x for c in powers for x in (F.sum(c), F.count(c), F.min(c), F.max(c))]
+        spreads = [F.var_pop(box_cox_of_log(F.col(c), F.lit(p))) for c in powers for p in powers[c]]
+        row = iter(logs.agg(*[x.alias(f"v{i}") for i, x in enumerate([*sums, *spreads])]).first())
+        totals = {c: tuple(next(row) for _ in range(4)) for c in powers}
+        for c, tried in powers.items():
+            (total, n, low, high), variances = totals[c], [next(row) for _ in tried]
+            scored = [((p - 1) * total - n / 2 * math.log(v), i) for i, (p, v) in enumerate(zip(tried, variances)) if low != high and v and 0 < v < math.inf]
+            if not scored:
+                found[c] = None, None
+                del window[c]
+                continue
+            llf, i = max(scored)
+            step = window[c][1]
+            if i in (0, 2 * GRID_HALF) and step >= base:
+                window[c] = tried[i], 2 * step
+            elif step <= exact * 1.001:
+                found[c] = tried[i], llf
+                del window[c]
+            else:
+                window[c] = tried[i], max(step / 8, base) if step > base else step / GRID_HALF
+    return df.sparkSession.createDataFrame([(c, *found[c]) for c in cols], "name string, lambda double, llf double")
 
 
 def box_cox_fit_apply(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from grainmill.operators import columns, metrics, resample, textmine
 from grainmill.operators.scale import attach_by_key
 from grainmill.plans.registry import query
-from grainmill.plans.roles import LABELLED, RIDES, TWEETS, labelled, r, rides, tweets
+from grainmill.plans.roles import LABELLED, RIDES, TWEETS, labelled, r, rides, texts
 from grainmill.plans.words import tokens_sql
 
 # predictions made from the tables by a fixed rule
@@ -182,5 +182,5 @@ def group_lambda(t):
 
 @query("row_generator", f"with {TWEETS}, {tokens_sql('tweets', 'location')} select location, word, count(*) as n from tokens group by all")
 def row_generator(t):
-    words = textmine.unnest_tokens(tweets(t), keep=["location"])
+    words = textmine.unnest_tokens(texts(t), keep=["location"])
     return words.groupBy("location", "word").agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from grainmill.functions import text as tx
 from grainmill.operators import reshape, textmine, windows
 from grainmill.operators.scale import key_counts, settle
 from grainmill.plans.registry import query
-from grainmill.plans.roles import LABELLED, TWEETS, labelled, r, tweets
+from grainmill.plans.roles import LABELLED, TWEETS, labelled, r, texts, tweets
 from grainmill.plans.words import STOP_ENGLISH, STOP_OTHER, STOP_SQL, WORD_SQL, tokens_sql
 
 _TOKENS = f"{TWEETS}, {tokens_sql('tweets')}"
@@ -20,7 +20,7 @@ _VOCAB = f"{_DTM}, vocab as (select word, cast(sum(n) as bigint) as term_count,
 
 @query("unnest_tokens", f"with {_TOKENS} select id, word from tokens")
 def unnest_tokens(t):
-    return textmine.unnest_tokens(tweets(t))
+    return textmine.unnest_tokens(texts(t))
 
 
 _POSITIONS = f"""arrays as (select id, target, regexp_extract_all(lower(text), '{WORD_SQL}') as a from {{0}}),
@@ -30,7 +30,7 @@ _BIGRAMS = _POSITIONS + ", bigrams as (select id, target, a[pos] || ' ' || a[pos
 
 @query("unnest_bigrams", f"with {TWEETS}, {_BIGRAMS.replace('{0}', 'tweets')} select id, word from bigrams")
 def unnest_bigrams(t):
-    return textmine.unnest_ngrams(tweets(t))
+    return textmine.unnest_ngrams(texts(t))
 
 
 def _light(sql_stop: bool) -> str:
@@ -99,12 +99,12 @@ def class_rate_by_keyword(t):
 
 @query("vocabulary", f"with {_VOCAB} select * from vocab")
 def vocabulary(t):
-    return textmine.vocabulary(tweets(t))
+    return textmine.vocabulary(texts(t))
 
 
 @query("prune_vocabulary", f"with {_VOCAB} select * from vocab where term_count >= 5 and doc_count >= 10")
 def prune_vocabulary(t):
-    return textmine.prune_vocabulary(textmine.vocabulary(tweets(t)), term_count_min=5, doc_count_min=10)
+    return textmine.prune_vocabulary(textmine.vocabulary(texts(t)), term_count_min=5, doc_count_min=10)
 
 
 _TRAIN_VOCAB = f"""{TWEETS}, {tokens_sql('tweets', 'id, target')}, dtm as (select id, word, any_value(target) as target, count(*) as n from tokens group by id, word),
@@ -118,7 +118,7 @@ def _train_vocab(t):
 @query("doc_term_counts", f"with {_TRAIN_VOCAB} select d.id, d.word, n from dtm d join vocab v on d.word = v.word")
 def doc_term_counts(t):
     """The vocabulary of the labelled documents, applied to all documents."""
-    counts = textmine.doc_term_counts(tweets(t))
+    counts = textmine.doc_term_counts(texts(t))
     return textmine.restrict_to_vocabulary(counts, _train_vocab(t)).select("id", "word", "n")
 
 
@@ -153,7 +153,7 @@ def tfidf_l2(t):
         select least(x, y) as term_a, greatest(x, y) as term_b, round(sum(w) / 60, 6) as weight from p group by 1, 2""",
 )
 def cooccurrence(t):
-    return textmine.cooccurrence(tweets(t)).withColumn("weight", r("weight"))
+    return textmine.cooccurrence(texts(t)).withColumn("weight", r("weight"))
 
 
 _RANKED = f"{_VOCAB}, ranked as (select word, term_count, row_number() over (order by term_count desc, word) as rank from vocab)"
@@ -206,7 +206,7 @@ _VECTORS = f"{_RANKED}, vectors as (select word, term_count, rank, embedding fro
 
 def ranked_with_vectors(t):
     """(word, term_count, doc_count, rank, vec): the most frequent words with their vectors."""
-    ranked = textmine.ranked_vocabulary(textmine.vocabulary(tweets(t)), top=t.embeddings.count())
+    ranked = textmine.ranked_vocabulary(textmine.vocabulary(texts(t)))
     vecs = t.embeddings.select((F.col("vec_id") + 1).alias("rank"), F.col("embedding").alias("vec"))
     return ranked.join(vecs, "rank")
 
@@ -217,7 +217,7 @@ def ranked_with_vectors(t):
         from ranked r left join vectors v on r.word = v.word""",
 )
 def lookup_vectors(t):
-    ranked = settle(textmine.ranked_vocabulary(textmine.vocabulary(tweets(t))), "ranked")
+    ranked = settle(textmine.ranked_vocabulary(textmine.vocabulary(texts(t))), "ranked")
     vecs = t.embeddings.select((F.col("vec_id") + 1).alias("rank"), F.col("embedding").alias("vec"))
     vectors = ranked.join(vecs, "rank").select("word", "vec")
     found = textmine.lookup_vectors(ranked.select("word", "rank"), vectors, 64)
@@ -231,6 +231,6 @@ def lookup_vectors(t):
 )
 def mean_embedding(t):
     vectors = ranked_with_vectors(t)
-    found = textmine.mean_embedding(textmine.doc_term_counts(tweets(t)), vectors)
+    found = textmine.mean_embedding(textmine.doc_term_counts(texts(t)), vectors)
     long = found.select("id", F.posexplode(vector_to_array("features")).alias("dim", "v"))
     return long.select("id", "dim", r("v").alias("value"))

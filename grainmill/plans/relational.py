@@ -9,7 +9,7 @@ from grainmill.operators import joins, profile, reshape, rows, textmine, windows
 from grainmill.operators.columns import tag_source
 from grainmill.operators.scale import key_counts, row_positions
 from grainmill.plans.registry import query
-from grainmill.plans.roles import HOUSES, LABELLED, RIDES, TWEETS, houses, labelled, r, rides, tweets
+from grainmill.plans.roles import HOUSES, LABELLED, RIDES, TWEETS, houses, labelled, r, rides, texts, tweets
 from grainmill.plans.words import STOP_ENGLISH, STOP_OTHER, STOP_SQL, tokens_sql
 
 # ---- filters -----------------------------------------------------------------------------------
@@ -64,7 +64,7 @@ def filter_group_size(t):
     f"with {TWEETS}, {tokens_sql('tweets')} select word, count(*) as n from tokens where length(word) > 2 group by word",
 )
 def filter_by_length(t):
-    long = textmine.unnest_tokens(tweets(t)).where(F.char_length("word") > 2)
+    long = textmine.unnest_tokens(texts(t)).where(F.char_length("word") > 2)
     return key_counts(long, ["word"])
 
 
@@ -118,7 +118,7 @@ def left_join_lookup(t):
     f"with {TWEETS}, {tokens_sql('tweets')} select word, count(*) as n from tokens where word not in ({STOP_SQL}) group by word",
 )
 def anti_join_stopwords(t):
-    kept = textmine.without_stopwords(textmine.unnest_tokens(tweets(t)), STOP_ENGLISH, STOP_OTHER)
+    kept = textmine.without_stopwords(textmine.unnest_tokens(texts(t)), STOP_ENGLISH, STOP_OTHER)
     return key_counts(kept, ["word"])
 
 
@@ -343,7 +343,7 @@ _PIVOT_WORDS = ["the", "and", "la", "der", "que"]
     + " from tokens group by id having count(*) filter (where word in ('the', 'and', 'la', 'der', 'que')) > 0",
 )
 def pivot_counts(t):
-    return reshape.pivot_counts(textmine.doc_term_counts(tweets(t)), _PIVOT_WORDS)
+    return reshape.pivot_counts(textmine.doc_term_counts(texts(t)), _PIVOT_WORDS)
 
 
 @query(

@@ -78,6 +78,11 @@ def tweets(t: Tables) -> DataFrame:
     )
 
 
+def texts(t: Tables) -> DataFrame:
+    """The documents of `tweets` for queries that use no class: without the join to `labels`."""
+    return t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("location"), "text")
+
+
 TWEETS = """
 tweets as (
   select d.doc_id as id, case when d.doc_id % 7 <> 0 then source end as keyword, lang as location, text,

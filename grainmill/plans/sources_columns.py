@@ -18,8 +18,8 @@ from grainmill.sources import files
 @query("csv_scan", f"with {TWEETS} select id, keyword, location, text, target from tweets")
 def csv_scan(t):
     path = fresh_path(t.spark, "csv_scan")
-    files.write_csv(tweets(t).select("id", "keyword", "location", "text", "target"), path)
-    return files.read_csv(t.spark, path, "id long, keyword string, location string, text string, target int")
+    files.write_csv(tweets(t).select("id", "keyword", "location", "text", "target"), path, rows_per_file=50_000)
+    return files.read_csv(t.spark, path, "id long, keyword string, location string, text string, target int", multi_line=True)
 
 
 @query("csv_sink", "select o_orderkey as id, round(o_totalprice * 0.9, 4) as sale_price from orders")
@@ -50,7 +50,7 @@ def vector_text_scan(t):
 
 @query("json_column", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def json_column(t):
-    schema = files.infer_json_schema(t.events, "props", ["event_id"])
+    schema = files.infer_json_schema(t.events, "props")
     return files.json_columns(t.events, "props", schema).select("event_id", "k")
 
 

@@ -68,38 +68,54 @@ def boxcox_fixed(t):
 
 
 def _lambda_sql():
+    """The best power on -40 .. 40 in steps of 0.2, then in steps ten times finer around it."""
     parts, prev = [], None
-    step = 0.2
-    for i in range(1, 5):
-        grid = f"select {'0.0::double' if prev is None else 'lam'} + (j - 10) * {step!r}::double as l from {'' if prev is None else prev + ', '}range(21) as u(j)"
-        parts.append(f"g{i} as ({grid})")
+    for i, step in enumerate((0.2, 0.02, 0.002, 0.0002), 1):
+        source = f"{prev}, range(-10, 11) as u(j)" if prev else "range(-200, 201) as u(j)"
+        parts.append(f"g{i} as (select {'lam' if prev else '0.0::double'} + j * {step!r}::double as l from {source})")
         parts.append(
             f"""b{i} as (select l, (l - 1) * sum(ln(x)) - count(*) / 2 * ln(var_pop(case when abs(l) < 1e-12 then ln(x) else (power(x, l) - 1) / l end)) as llf
-            from xs, g{i} group by l)"""
+            from xs, g{i} where l * (select max(ln(x)) from xs) < 300 group by l)"""
         )
         parts.append(f"p{i} as (select l as lam, llf from b{i} order by llf desc, l limit 1)")
-        prev, step = f"p{i}", step / 10
+        prev = f"p{i}"
     return ", ".join(parts)
 
 
+#: A column with few values above zero, whose best power is far below -2.
+_RARE = "case when event_id % 56 = 0 then 53 + event_id % 500 else 0 end"
+
+
+def _lambda_row(name, x):
+    return f"""select * from (with xs as (select {x} + 1 as x from events), {_lambda_sql()}
+        select '{name}' as name, round(lam, 6) + 0.0 as lambda, round(llf, 2) as llf from p4)"""
+
+
 @query(
     "boxcox_mle",
-    f"""select * from (with xs as (select value + 1 as x from events), {_lambda_sql()} select 'windspeed' as name, round(lam, 6) + 0.0 as lambda, round(llf, 2) as llf from p4)
-        union all select * from (with xs as (select cast(json_extract_string(props, '$.k') as double) + 1 as x from events), {_lambda_sql()}
-        select 'temp' as name, round(lam, 6) + 0.0 as lambda, round(llf, 2) as llf from p4)""",
+    " union all ".join([
+        _lambda_row("windspeed", "value"),
+        _lambda_row("temp", "cast(json_extract_string(props, '$.k') as double)"),
+        _lambda_row("rare", _RARE),
+    ]),
 )
 def boxcox_mle(t):
-    found = transforms.box_cox_lambdas(rides(t), ["windspeed", "temp"])
+    rare = t.events.select(F.expr(_RARE).alias("rare"))
+    found = transforms.box_cox_lambdas(rides(t), ["windspeed", "temp"]).union(transforms.box_cox_lambdas(rare, ["rare"]))
     return found.select("name", r("lambda").alias("lambda"), r("llf", 2).alias("llf"))
 
 
 @query(
     "boxcox_mle_apply",
-    f"""with xs as (select value + 1 as x from events), {_lambda_sql()} select event_id as id, round((power(value + 1, lam) - 1) / lam, 5) + 0.0 as windspeed from events, p4""",
+    f"""with xs as (select value + 1 as x from events), {_lambda_sql()},
+        rare as (select * from (with xs as (select {_RARE} + 1 as x from events), {_lambda_sql()} select lam as low from p4))
+        select event_id as id, round((power(value + 1, lam) - 1) / lam, 5) + 0.0 as windspeed,
+               round((power({_RARE} + 1, low) - 1) / low, 5) + 0.0 as rare from events, p4, rare""",
 )
 def boxcox_mle_apply(t):
-    done = transforms.box_cox_fit_apply(rides(t).select("id", "windspeed"), ["windspeed"])
-    return done.select("id", r("windspeed", 5).alias("windspeed"))
+    src = t.events.select(F.col("event_id").alias("id"), F.col("value").alias("windspeed"), F.expr(_RARE).alias("rare"))
+    done = transforms.box_cox_fit_apply(src, ["windspeed", "rare"])
+    return done.select("id", r("windspeed", 5).alias("windspeed"), r("rare", 5).alias("rare"))
 
 
 @query(

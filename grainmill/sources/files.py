@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_FILE = 50_000
-
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, null_value: str = "NA"
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, null_value: str = "NA",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with header. Empty cells and `null_value` are missing; quoted cells may hold line breaks.
+    """CSV with header. Empty cells and `null_value` are missing. Large files are read in parallel parts; with
+    `multi_line` quoted cells may hold line breaks, and each file is read by one task.
 
     Give a schema for anything large: without one Spark reads the file twice to infer it.
     """
     reader = (
         spark.read.option("header", True)
         .option("nullValue", null_value)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
@@ -32,8 +32,9 @@ def read_csv(
     return reader.schema(schema).csv(path)
 
 
-def write_csv(df: DataFrame, path: str, null_value: str = "NA", rows_per_file: int = ROWS_PER_FILE) -> None:
-    """CSV folder with header and no index. Files stay small, as a reader cannot split quoted line breaks."""
+def write_csv(df: DataFrame, path: str, null_value: str = "NA", rows_per_file: int = 0) -> None:
+    """CSV folder with header and no index, one file per partition. Where cells hold line breaks, which a reader
+    cannot split, `rows_per_file` keeps files small; 0 sets no bound."""
     (
         df.write.option("header", True)
         .option("nullValue", null_value)
@@ -65,12 +66,14 @@ def write_word_vectors(df: DataFrame, path: str, word: str = "word", vec: str =
     df.select(line.alias("value")).write.text(path)
 
 
-def infer_json_schema(df: DataFrame, col: str, order_by: Sequence[str]) -> str:
-    """Schema text learnt from the first row in the given order (reads that one row)."""
-    first = df.where(F.col(col).isNotNull()).orderBy(*order_by).select(col).limit(1).collect()
-    if not first:
-        raise ValueError(f"no value of {col} to learn a schema from")
-    return df.sparkSession.range(1).select(F.schema_of_json(F.lit(first[0][0]))).first()[0]
+def infer_json_schema(df: DataFrame, col: str) -> str:
+    """Schema text with the fields of ALL rows, found in one aggregate. A field whose values have no common type
+    and one that is always null are strings, decimals are doubles. Text that does not parse is passed over."""
+    found = df.agg(F.schema_of_variant_agg(F.try_parse_json(col))).first()[0]
+    if not found or not found.startswith("OBJECT<"):
+        raise ValueError(f"no common object in the values of {col} to learn a schema from")
+    found = re.sub(r"\bOBJECT<", "STRUCT<", found)
+    return re.sub(r"\b(VARIANT|VOID)\b(?!:)", "STRING", re.sub(r"\bDECIMAL\(\d+, ?\d+\)", "DOUBLE", found))
 
 
 def json_columns(df: DataFrame, col: str, schema: str | T.StructType, prefix: str = "") -> DataFrame:

@@ -92,6 +92,19 @@ def test_box_cox_power_is_the_best_one(table):
     assert got["llf"] == pytest.approx(llf(got["lambda"]))
 
 
+def test_box_cox_power_far_from_zero(spark):
+    values = [0.0] * 1434 + [53.0 + 20 * i for i in range(25)] + [572.0]
+    df = spark.createDataFrame([(v, 3.0) for v in values], "v double, same double")
+    got = {r.name: r["lambda"] for r in transforms.box_cox_lambdas(df, ["v", "same"]).collect()}
+    logs = np.log1p(values)
+
+    def llf(lam):
+        return (lam - 1) * logs.sum() - len(logs) / 2 * np.log((np.expm1(lam * logs) / lam).var())
+
+    best = max(np.arange(-20, -2, 0.0005), key=llf)
+    assert best < -9 and got["v"] == pytest.approx(best, abs=1e-3) and got["same"] is None
+
+
 def test_density_integrates_to_one(table):
     d = stats.density_estimate(table.where("v is not null"), "v", ["g"], points=400).orderBy("g", "x").collect()
     for g in "abc":

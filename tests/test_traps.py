@@ -115,7 +115,7 @@ def test_csv_round_trip(spark, tmp_path):
     rows_ = [(1, 'a,"b"', "x\ny"), (2, None, "None"), (3, " lead", "é;'")]
     df = spark.createDataFrame(rows_, "id int, a string, b string")
     files.write_csv(df, str(tmp_path / "out"))
-    back = files.read_csv(spark, str(tmp_path / "out"), "id int, a string, b string")
+    back = files.read_csv(spark, str(tmp_path / "out"), "id int, a string, b string", multi_line=True)
     assert sorted(tuple(r) for r in back.collect()) == rows_
 
 
@@ -128,11 +128,31 @@ def test_csv_missing_cells(spark, tmp_path):
 
 def test_json_that_does_not_parse(spark):
     df = spark.createDataFrame([(1, '{"k": 3, "s": "x"}'), (2, "oops"), (3, None)], "id int, j string")
-    schema = files.infer_json_schema(df, "j", ["id"])
+    schema = files.infer_json_schema(df, "j")
     got = {r.id: (r.k, r.s) for r in files.json_columns(df, "j", schema).collect()}
     assert got == {1: (3, "x"), 2: (None, None), 3: (None, None)}
 
 
+def test_json_fields_of_late_rows(spark):
+    texts = ['{"k": 1}', '{"k": 2, "z": "q", "o": {"p": 1.5}}', '{"k": 3, "z": 7, "n": null}']
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    got = files.json_columns(df, "j", files.infer_json_schema(df, "j")).orderBy("k").collect()
+    assert [(r.k, r.z, r.o and r.o.p, r.n) for r in got] == [(1, None, None, None), (2, "q", 1.5, None), (3, "7", None, None)]
+    with pytest.raises(ValueError):
+        files.infer_json_schema(df.where("false"), "j")
+
+
+def test_csv_is_read_in_parts(spark, tmp_path):
+    files.write_csv(spark.range(0, 200_000, 1, 1), str(tmp_path / "out"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        back = files.read_csv(spark, str(tmp_path / "out"), "id long")
+        assert back.rdd.getNumPartitions() > 3 and back.selectExpr("sum(id) s").first().s == sum(range(200_000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_names(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], ["Sale Price", "1stFlrSF", "sale.price", "3SsnPorch"])
     assert columns.clean_names(df).columns == ["sale_price", "x1st_flr_sf", "sale_price_2", "x3ssn_porch"]
