@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import zstandard
 from tokenizers import Tokenizer
@@ -56,8 +57,21 @@ def mixed(texts, source):
     return out
 
 
-def test_pipeline_is_its_five_stages(spark):
-    table = pq.read_table(f"{FOLDER}/documents.parquet").to_pydict()
+def with_near_copies(table):
+    """The documents, and those of more than 100 words again in one line with one word changed."""
+    rows = table.to_pylist()
+    for row in table.to_pylist():
+        words = brute.WORD.findall(row["text"] or "")
+        if len(words) > 100 and row["doc_id"] % 3 == 0:
+            words[50] = "changed"
+            rows.append(row | {"doc_id": row["doc_id"] + 1_000_000, "text": " ".join(words)})
+    return pa.Table.from_pylist(rows, table.schema)
+
+
+def test_pipeline_is_its_five_stages(spark, tmp_path):
+    table = with_near_copies(pq.read_table(f"{FOLDER}/documents.parquet"))
+    pq.write_table(table, tmp_path / "documents.parquet")
+    table = table.to_pydict()
     source = dict(zip(table["doc_id"], table["source"]))
     rows = [(i, t) for i, t in zip(table["doc_id"], table["text"]) if good(t)]
     texts = brute.line_dedup(rows)
@@ -70,7 +84,7 @@ def test_pipeline_is_its_five_stages(spark):
         ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
         for piece, start in enumerate(range(0, len(ids), 2048)):
             want[i, piece, start, np.array(ids[start : start + 2048], "<u4").tobytes()] += copies
-    got = corpus_pipeline.run(spark, FOLDER).collect()
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     found = Counter((r.doc_id, r.piece, r.start, bytes(r.ids)) for r in got)
     assert sum(found.values()) == sum(want.values())
     assert found == want
