@@ -134,6 +134,27 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                 at, keys, held = [], [], 0
 
 
+def _grid(column: pa.Array, kind: type) -> np.ndarray:
+    """One row of numbers for each sketch or bitmap of a column."""
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, kind).reshape(len(column), -1) if data else np.zeros((0, 1), kind)
+
+
+def _may_link(n: np.ndarray, m: np.ndarray, bitmaps: tuple, sketches: tuple, similarity: int) -> np.ndarray:
+    """Whether sets of `n` and `m` shingles may be linked, by bitmaps (without error) and then by sketches."""
+    apart = np.bitwise_count(bitmaps[1] ^ bitmaps[0]).sum(1, dtype=np.int64)
+    shared = (n + m - apart) // 2
+    return (100 * shared >= similarity * (n + m - shared)) & ((sketches[1] == sketches[0]).sum(1) >= SURE * BINS)
+
+
+def _close(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, an, b, bn) with bitmaps (ba, bb) and sketches (sa, sb), those that may be linked."""
+    for batch in batches:
+        sizes = [batch.column(x).to_numpy() for x in ("an", "bn")]
+        pairs = [tuple(_grid(batch.column(x), kind) for x in y) for y, kind in ((("ba", "bb"), np.uint64), (("sa", "sb"), np.uint16))]
+        yield batch.select(["a", "an", "b", "bn"]).filter(pa.array(_may_link(*sizes, *pairs, similarity)))
+
+
 def _compared(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
     """Pairs of a block (rows sorted by block) that bitmaps allow, whose sketches are close and whose components differ."""
     names = ["a", "an", "b", "bn"]
@@ -147,12 +168,8 @@ def _compared(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa
                 100 * np.minimum(n, m) >= similarity * np.maximum(n, m)
             )
             near &= ~block["minor"][right] | (block["rep"][right] > block["rep"][i])
-            found, m = right[near], m[near]
-            apart = np.bitwise_count(block["bitmap"][found] ^ block["bitmap"][i]).sum(1, dtype=np.int64)
-            shared = (n + m - apart) // 2
-            found = found[100 * shared >= similarity * (n + m - shared)]
-            same = (block["sketch"][found] == block["sketch"][i]).sum(1)
-            for j in found[same >= SURE * BINS]:
+            found = right[near]
+            for j in found[_may_link(n, m[near], *[(block[x][i], block[x][found]) for x in ("bitmap", "sketch")], similarity)]:
                 a, b = (i, j) if block["rep"][i] < block["rep"][j] else (j, i)
                 out.append((block["rep"][a], block["n"][a], block["rep"][b], block["n"][b]))
         if out:
@@ -161,8 +178,7 @@ def _compared(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa
     held = None
     for batch in batches:
         cols = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "i", "j", "side", "rep", "n", "label", "minor")}
-        cols["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, BINS)
-        cols["bitmap"] = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        cols["sketch"], cols["bitmap"] = _grid(batch.column("sketch"), np.uint16), _grid(batch.column("bitmap"), np.uint64)
         if held is not None:
             cols = {x: np.concatenate([held[x], y]) for x, y in cols.items()}
         new = np.flatnonzero(np.any([cols[x][1:] != cols[x][:-1] for x in ("key", "i", "j")], axis=0)) + 1
@@ -175,11 +191,22 @@ def _compared(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa
         yield found
 
 
-def _links(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _sifted(pairs: DataFrame, marks: DataFrame, shelf: Shelf, similarity: int) -> DataFrame:
+    """Pairs (a, an, b, bn) that may be linked, by the bitmaps and sketches in `marks`. `a` may be in any number of
+    pairs, `b` in as many as there are bands."""
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
+    leaders = shelf.keep(counts.join(marks.toDF("a", "sa", "ba"), "a"), "leaders")
+    both = lookup(pairs, leaders, ["a"], "c").join(marks.toDF("b", "sb", "bb"), "b")
+    return both.mapInArrow(lambda it: _close(it, similarity), "a long, an long, b long, bn long")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, shelf: Shelf, similarity: int) -> DataFrame:
     """Pairs (a, an, b, bn) that hold on the full sets. The set of a frequent `a` meets its partners in parts."""
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
     dealt = lookup(pairs, counts.withColumn("n", F.col("c")), ["a"], "n")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / 64)))
+    # Written, so that Spark knows how few they are and need not shuffle all sets for them.
+    dealt = shelf.keep(dealt, "dealt")
     left = dealt.select("a", "part").distinct().join(sets.withColumnsRenamed({"rep": "a", "keys": "ka"}), "a")
     right = dealt.join(sets.withColumnsRenamed({"rep": "b", "keys": "kb"}), "b")
     both = right.join(left, ["a", "part"]).withColumn("common", F.size(F.array_intersect("ka", "kb")).cast("long"))
@@ -211,32 +238,36 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     classes = shelf.keep(classes, "classes")
     narrow = shelf.keep(sketched.select("doc_id", *of_set), "narrow")
     shelf.drop("sketched")
+    reps = shelf.keep(classes.select(*of_set, "rep", "rows"), "reps")
     banded = _band_keys(classes)
     size_fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * similarity
     leader = lambda order: F.min(F.struct(order, "rep", "n")).alias("lead")
     buckets = banded.groupBy("key").agg(leader(F.col("rep").alias("o")), F.count(F.lit(1)).alias("c"))
     buckets = shelf.keep(buckets.where("c > 1"), "buckets")
     members = shelf.keep(lookup(banded, buckets, ["key"], "c"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = shelf.keep(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    marks = classes.select(F.col("rep").alias("doc_id"), "sketch", "bitmap").join(wanted, "doc_id", "left_semi")
+    marks = shelf.keep(marks.withColumnRenamed("doc_id", "rep"), "marks")
+    shelf.drop("classes", "buckets")
     sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width), "rep long, keys array<long>")
     sets = shelf.keep(sets, "sets")
 
     def star(rows: DataFrame) -> DataFrame:
         led = rows.where("rep <> lead.rep").where(size_fits(F.col("n"), F.col("lead.n")))
-        a, b = F.struct("rep", "n"), F.struct("lead.rep", "lead.n")
-        pairs = led.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
-        return pairs.select("x.rep", "x.n", "y.rep", "y.n").toDF("a", "an", "b", "bn")
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = shelf.keep(pairs, f"{name}pairs")
-        found = shelf.keep(_links(pairs, sets, similarity), name)
-        shelf.drop(f"{name}pairs")
+        return led.select("lead.rep", "lead.n", "rep", "n").toDF("a", "an", "b", "bn").distinct()
+
+    def linked(close: DataFrame, name: str) -> DataFrame:
+        found = shelf.keep(_links(shelf.keep(close, "close"), sets, shelf, similarity), name)
+        shelf.drop("close", "dealt")
         return found
 
-    links = linked(star(members), "links0")
-    bare = members.select("key", "rep", "n")
+    def linked_stars(rows: DataFrame, name: str) -> DataFrame:
+        found = linked(_sifted(shelf.keep(star(rows), "stars"), marks, shelf, similarity), name)
+        shelf.drop("stars", "leaders")
+        return found
 
-    shelf.drop("buckets")
+    links = linked_stars(members, "links0")
+    bare = members.select("key", "rep", "n")
 
     def mixed(order) -> DataFrame:
         """Members of buckets with more than one component, with a leader of the bucket."""
@@ -254,7 +285,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
 
     for i in range(1, ROUNDS + 1):
         rows = mixed(F.xxhash64("rep", "key", F.lit(i)).alias("o")).where("label <> lead.label")
-        found = linked(star(rows), f"links{i}")
+        found = linked_stars(rows, f"links{i}")
         links = shelf.keep(links.union(found).distinct(), f"all{i}")
 
     rows = shelf.keep(mixed(F.lit(0).alias("o")).select("key", "rep", "n", "label"), "rest")
@@ -265,7 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
         "key", F.col("top.label").alias("major"), "total",
         blocks(F.col("total") - F.col("top.g")).alias("ni"), blocks(F.col("total")).alias("nj"),
     )
-    rows = lookup(rows, shelf.keep(major, "major"), ["key"], "total").join(classes.select("rep", "sketch", "bitmap"), "rep")
+    rows = lookup(rows, shelf.keep(major, "major"), ["key"], "total").join(marks, "rep")
     rows = rows.withColumns({"minor": F.col("label") != F.col("major"), "h": F.xxhash64("rep")})
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     data = ["rep", "n", "label", "minor", "sketch", "bitmap"]
@@ -275,7 +306,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     close = dealt.mapInArrow(lambda it: _compared(it, similarity), "a long, an long, b long, bn long").distinct()
     links = shelf.keep(links.union(linked(close, "last")).distinct(), "all")
     labels = components(links).withColumnsRenamed({"node": "rep", "component": "label"})
-    joined = classes.select(*of_set, "rep", "rows").join(labels, "rep", "left")
+    joined = reps.join(labels, "rep", "left")
     settled = shelf.keep(joined.select(*of_set, "rows", F.coalesce("label", "rep").alias("component")), "settled")
     judged = lookup(narrow.where("doc_id is not null"), settled, of_set, "rows", "left")
     judged = judged.unionByName(narrow.where("doc_id is null").withColumn("component", F.lit(None).cast("long")))
