@@ -125,9 +125,10 @@ def contextual_spans(texts: DataFrame, base: DataFrame, shelf: Shelf) -> DataFra
     backed = backed.where(F.col("seeds") >= SUPPORT).select("pattern")
     follows = graph.groupBy("pattern").agg(F.sum("n").alias("follow"))
     backed = shelf.keep(backed.join(follows, "pattern"), "backed")
-    # Most patterns are ordinary words. Those that the documents with mentions alone show to stand elsewhere too
-    # often are left out before places are counted in all documents.
-    near = texts.join(mentions.select(*KEY).distinct(), KEY, "left_semi")
+    # Most patterns are ordinary words. Those that the documents with identifier-like strings alone show to stand
+    # elsewhere too often are left out before places are counted in all documents. Looking for such strings again
+    # takes no shuffle of texts, as a join with the mentions would.
+    near = texts.where(F.col("text").rlike(LIKELY))
     may = lambda places: backed.join(places, "pattern").where(F.col("follow") >= SURE * F.col("places"))
     hopeful = shelf.keep(may(_standing(near, backed)).select("pattern"), "hopeful")
     places = may(_standing(texts, hopeful)).select("pattern", "places")
