@@ -25,7 +25,7 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _IP = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 #: Identifier-like strings: at least 7 digits with single marks between them, or a name, a sign for "at" and a name.
 LIKELY = r"(?<![0-9])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+|(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:@|[\x20]?[(\[]at[)\]][\x20]?)[A-Za-z0-9-][A-Za-z0-9.-]*+"

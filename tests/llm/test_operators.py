@@ -150,6 +150,14 @@ def test_base_pii(docs):
         assert r.s == ",".join(brute.pii(TEXTS[r.doc_id]))
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1 and 127.0.0.1", "0.0.0.0", "1.2.3.00", "00.000.0000.1", "192.168.0.1:80", "1.2.3.004 0.0.0.256", "1.0.0255.00256"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_ip, r.s) for r in pii.find_pii(df).withColumn("s", pii.spelled("base_spans")).collect()}
+    want = {i: ",".join(brute.pii(t)) for i, t in enumerate(texts)}
+    assert got == {i: (s.count("ip:"), s) for i, s in want.items()} and got[0][0] == 2 and got[6][0] == 0
+
+
 def test_contextual_pii(spark):
     good = [x for x in range(1000, 9999) if brute.luhn(f"411111111111{x}")][:8]
     rows = [(i, f"Filler {i} words. Account reads: 411111111111{x} and more") for i, x in enumerate(good)]
