@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; where its leading bits are zero a chunk ends. The cut depends on the
-last bytes alone, so an insertion moves the cuts next to it and no others, and a passage that stands in two
-texts is cut alike in both. Chunks found before, in order of (doc_id, place), are repeats.
+A gear hash rolls over the bytes of a text; where it is the smallest of its neighbourhood a chunk ends. The cut
+depends on the bytes around it alone, not on the cut before, so a passage that stands in two texts is cut alike
+in both but for its first REACH + SHORTEST and last SHORTEST bytes. Chunks found before, in order of (doc_id,
+place), are repeats.
 """
 
 from __future__ import annotations
@@ -18,54 +19,70 @@ from pyspark.sql import functions as F
 from grainmill.llm.shelf import Shelf, lookup
 from grainmill.llm.text import INNER, mix, steps
 
-#: Shortest and longest chunk in bytes; between them one place in 2 ** CUT_BITS is a cut.
-SHORTEST, LONGEST, CUT_BITS = 16, 128, 5
+#: A cut has the smallest hash of so many places before and behind it, so chunks are longer than that, and twice as
+#: long on average; a chunk ends at LONGEST bytes at the latest.
+SHORTEST, LONGEST = 12, 128
 #: Repeated stretches below this many code points are left alone.
 MIN_SPAN = 100
-#: The hash looks back over so many bytes.
-REACH = 32
+#: The hash looks back over so many bytes, each moved on by SHIFT bits.
+REACH, SHIFT = 16, 2
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """h[i] = (h[i - 1] << 1) + GEAR[data[i]] in 32 bits, for all places at once by doubling the reach."""
+    """h[i] = (h[i - 1] << SHIFT) + GEAR[data[i]] in 32 bits, for all places at once by doubling the reach."""
     h = GEAR[data]
     reach = 1
     while reach < REACH:
         more = h.copy()
-        more[reach:] += h[:-reach] << np.uint32(reach)
+        more[reach:] += h[:-reach] << np.uint32(SHIFT * reach)
         h, reach = more, 2 * reach
     return h
 
 
-def cuts(data: np.ndarray, shortest: int, longest: int, bits: int) -> list[int]:
+def _lowest(h: np.ndarray, width: int) -> np.ndarray:
+    """Smallest of h[i : i + width] for each i with so many behind it, by doubling the width."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        h = np.minimum(h[:-step], h[step:])
+        have += step
+    return h
+
+
+def cuts(data: np.ndarray, shortest: int, longest: int) -> np.ndarray:
     """Ends of the chunks of one text. Cuts never fall inside a character."""
     n = len(data)
-    wanted = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - bits) == 0) + 1
     inner = INNER[data]
-    out, last = [], 0
-
-    def forced(end: int) -> None:  # by the longest length alone
-        nonlocal last
-        while end - last > longest:
-            at = last + longest
-            while inner[at]:
-                at -= 1
-            out.append(at)
-            last = at
-
-    for c in wanted.tolist():
-        forced(c)
-        if c - last >= shortest and (c == n or not inner[c]):
-            out.append(c)
-            last = c
-    forced(n)
-    if last < n:
-        out.append(n)
-    return out
-
-
-def _chunked(batches: Iterator[pa.RecordBatch], shortest: int, longest: int, bits: int) -> Iterator[pa.RecordBatch]:
+    h = gear_hashes(data[: n - 1])  # h[i]: of a cut before byte i + 1
+    h[inner[1:]] = 0xFFFFFFFF
+    edge = np.full(shortest, 0xFFFFFFFF, np.uint32)
+    lows = _lowest(np.concatenate([edge, h, edge]), shortest)
+    before, behind = lows[: len(h)], lows[shortest + 1 : shortest + 1 + len(h)]
+    ends = np.flatnonzero((h <= before) & (h <= behind) & (h != 0xFFFFFFFF)) + 1
+    if len(ends) and np.diff(ends).min(initial=n) <= shortest:  # equal hashes: a short run of bytes over and over
+        last, thin = -n, []
+        for end in ends.tolist():
+            if end - last > shortest:
+                thin.append(end)
+                last = end
+        ends = np.array(thin)
+    ends = np.append(ends, n)
+    gaps = np.flatnonzero(np.diff(ends, prepend=0) > longest)
+    if not len(gaps):
+        return ends
+    forced = []  # by the longest length alone
+    for g in gaps.tolist():
+        last = int(ends[g - 1]) if g else 0
+        while ends[g] - last > longest:
+            last += longest
+            while inner[last]:
+                last -= 1
+            forced.append(last)
+    return np.sort(np.append(ends, forced))
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], shortest: int, longest: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for first, data, offsets in steps(batch.column(1)):
@@ -74,7 +91,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], shortest: int, longest: int, bit
                 own = data[offsets[i] : offsets[i + 1]]
                 if not len(own):
                     continue
-                ends = np.array(cuts(own, shortest, longest, bits))
+                ends = cuts(own, shortest, longest)
                 raw = own.tobytes()
                 chars = np.concatenate([[0], np.cumsum(~INNER[own])])
                 at = np.concatenate([[0], ends])
@@ -98,15 +115,14 @@ def repeated_spans(
     docs: DataFrame,
     shortest: int = SHORTEST,
     longest: int = LONGEST,
-    bits: int = CUT_BITS,
     min_span: int = MIN_SPAN,
 ) -> DataFrame:
     """One row per repeated stretch: doc_id, start, end (code points, end exclusive), n_chunks, and in first_doc_id
     the smallest document that holds one of its chunks first.
 
     A chunk is repeated if a chunk of the same digest stands at a smaller (doc_id, start). Neighbouring repeated
-    chunks form a stretch; those of at least `min_span` code points are returned. Passages shorter than two
-    longest chunks may hold no whole chunk.
+    chunks form a stretch; those of at least `min_span` code points are returned. A passage loses what lies before
+    its first common cut and behind its last, so one not much longer than `min_span` may be left alone.
 
     Null or empty text and null doc_id: no rows. Rows that share a doc_id and a text count once. Other columns
     are not read. An empty table gives an empty result.
@@ -115,7 +131,7 @@ def repeated_spans(
     texts = docs.where("doc_id is not null and text <> ''").selectExpr("cast(doc_id as bigint) doc_id", "text")
     chunks = shelf.keep(
         texts.mapInArrow(
-            lambda it: _chunked(it, shortest, longest, bits), "doc_id long, start int, `end` int, digest binary"
+            lambda it: _chunked(it, shortest, longest), "doc_id long, start int, `end` int, digest binary"
         ),
         "chunks",
     )

@@ -177,6 +177,25 @@ def test_substring(spark):
     assert {r.doc_id: len(r.text or "") for r in substring.cut_repeats(df).collect()}[1] < len(rows[1][1]) - 300
 
 
+def test_substring_finds_short_passages(spark):
+    """Passages of 51 words, each in two hosts: how many are found, and how much of them."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(n))
+    rows, planted = [], {}
+    for i in range(300):
+        front, passage = words(rng.integers(5, 80)), words(51) if i % 10 else " ".join(["over", "lord"] + [words(1)] * 49)
+        rows += [(i, f"{words(60)} {passage} {words(40)}"), (1000 + i, f"{front} {passage} {words(30)}")]
+        planted[1000 + i] = (len(front) + 1, len(front) + 1 + len(passage))
+    covered = dict.fromkeys(planted, 0)
+    for r in substring.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.doc_id in planted:
+            a, b = planted[r.doc_id]
+            assert r.start >= a - 1 and r.end <= b + 1 or r.doc_id % 10 == 0
+            covered[r.doc_id] += max(0, min(b, r.end) - max(a, r.start))
+    shares = [covered[i] / (b - a) for i, (a, b) in planted.items()]
+    assert sum(x > 0 for x in shares) >= 299 and np.mean(shares) > 0.78
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(400)]
