@@ -60,8 +60,8 @@ def cuts(data: np.ndarray, shortest: int, longest: int) -> np.ndarray:
     lows = _lowest(np.concatenate([edge, h, edge]), shortest)
     before, behind = lows[: len(h)], lows[shortest + 1 : shortest + 1 + len(h)]
     ends = np.flatnonzero((h <= before) & (h <= behind) & (h != 0xFFFFFFFF)) + 1
-    if len(ends) and np.diff(ends).min(initial=n) <= shortest:  # equal hashes: a short run of bytes over and over
-        last, thin = -n, []
+    if len(ends) and np.diff(ends).min(initial=shortest + 1) <= shortest:  # equal hashes: a short run of bytes over and over
+        last, thin = -shortest, []
         for end in ends.tolist():
             if end - last > shortest:
                 thin.append(end)

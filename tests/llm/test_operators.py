@@ -196,6 +196,15 @@ def test_substring_finds_short_passages(spark):
     assert sum(x > 0 for x in shares) >= 299 and np.mean(shares) > 0.78
 
 
+def test_cuts_of_odd_texts():
+    for text in ("a", "ab", "é", "x" * 20, "日本" * 200, "abc" * 500, *["".join(map(chr, range(97, 98 + k))) for k in range(26)]):
+        raw = text.encode()
+        ends = substring.cuts(np.frombuffer(raw, np.uint8), substring.SHORTEST, substring.LONGEST)
+        sizes = np.diff(ends, prepend=0)
+        assert ends.dtype.kind == "i" and ends[-1] == len(raw) and 0 < sizes.min() and sizes.max() <= substring.LONGEST
+        assert all(raw[:e].decode() for e in ends)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(400)]
