@@ -19,10 +19,11 @@ from grainmill.llm.text import INNER, SPACE, mix, per_text, span_hashes, steps,
 LEVEL = 3
 CHUNK = 4096
 #: (bytes at least, lowest ratio, highest ratio); the last row that a text reaches holds. Texts below the first
-#: row are too short for a ratio to say anything.
-WHOLE_BANDS = ((256, 1.05, 5.0), (1024, 1.15, 6.0), (4096, 1.25, 8.0), (65536, 1.3, 10.0))
+#: row are too short for a ratio to say anything. The lowest ratios lie between noise (base64, words of random
+#: letters and digits, random CJK) and prose of that length.
+WHOLE_BANDS = ((256, 1.1, 5.0), (512, 1.3, 5.0), (1024, 1.4, 6.0), (4096, 1.5, 8.0), (65536, 1.5, 10.0))
 #: Chunks of CHUNK bytes share one band; a text fails if more than this share of them lies outside.
-CHUNK_BAND = (1.2, 6.0)
+CHUNK_BAND = (1.5, 6.0)
 CHUNK_SHARE = 0.5
 MIN_WORDS = 50
 MOST_REPEATED = 50

@@ -1,8 +1,10 @@
 """The operators against brute force on small tables with nulls, empty and long texts, ties and repeats."""
 
 
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -63,6 +65,22 @@ def test_compression_bands(spark):
     assert kept[1] > 8 and kept[2] < 1.25
 
 
+def test_noise_is_not_kept_and_prose_is():
+    rng = np.random.default_rng(1)
+    pick = lambda signs, n, width: " ".join("".join(rng.choice(signs, width)) for _ in range(n))
+    alnum = [chr(c) for c in range(128) if chr(c).isalnum()]
+    base64 = [*alnum, "+", "/"]
+    cjk = [chr(c) for c in range(0x4E00, 0x9FA5)]
+    noise = [pick(base64, n, 76) for n in (51, 60, 900)] + [pick(base64, 55, 20)]
+    noise += [pick(alnum, n, 6) for n in (160, 700, 10000)] + [pick(cjk, n, 4) for n in (60, 90, 400, 6000)]
+    prose = (Path(__file__).parents[2] / "README.md").read_text()
+    prose = [prose[:n] for n in (1100, 5000)]
+    settings = quality.LEVEL, quality.WHOLE_BANDS, quality.CHUNK, quality.CHUNK_BAND, quality.CHUNK_SHARE
+    *_, failed, kept = quality._measure(pa.array(noise + prose), settings)
+    assert not any(failed.to_pylist())
+    assert kept.to_pylist() == [False] * len(noise) + [True] * len(prose)
+
+
 def test_lines(docs):
     want = brute.line_dedup(list(enumerate(TEXTS)))
     got = {r.doc_id: r.text for r in lines.drop_repeated_lines(docs, batches=3).collect()}
