@@ -29,13 +29,16 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _IP = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 #: Identifier-like strings: at least 7 digits with single marks between them, or a name, a sign for "at" and a name.
 LIKELY = r"(?<![0-9])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+|(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:@|[\x20]?[(\[]at[)\]][\x20]?)[A-Za-z0-9-][A-Za-z0-9.-]*+"
-#: Code points before a mention in which its pattern is looked for; a pattern is the last WORDS words there.
+#: Code points before a mention, and before the mention in front of it, in which its pattern is looked for; a pattern is
+#: the last WORDS words there.
 REACH, WORDS = 48, 2
 ROUNDS = 3
 #: Different seeds that a pattern needs, and the score from which it finds new identifiers.
 SUPPORT, SURE = 5, 0.5
-#: ASCII white space.
-_SPACE = r"[\x20\x09-\x0D]"
+#: Words of patterns: letters or digits, whatever marks stand around them; START and ITEM are words as well, in place
+#: of the start of a text and of an identifier-like string.
+START, ITEM = "\x02", "\x03"
+_WORD = r"[\p{L}\p{M}]++|\p{Nd}++|[\x02\x03]"
 KEY = ["doc", "body"]
 
 
@@ -85,6 +88,12 @@ def _placed(texts: DataFrame, patterns: dict[str, str], keep_gap: bool) -> DataF
     rows = rows.dropDuplicates([*KEY, "kind", "at"])  # rows that repeat a document
     order = Window.partitionBy(*KEY, "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("match")).over(order)
+    if keep_gap:
+        last = F.lag("front").over(Window.partitionBy(*KEY, "kind").orderBy("at"))
+        mark = lambda part, sign: F.when(F.length(part) < REACH, sign).otherwise("")
+        behind = F.concat(mark(last, F.when(F.col("at") == 1, START).otherwise(ITEM)), last, F.lit(ITEM))
+        ahead = F.when(F.col("at") > 0, behind).otherwise(mark(F.col("front"), F.lit(START)))
+        rows = rows.withColumn("front", F.concat(ahead, "front"))
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("match")).drop("gap")
 
 
@@ -93,15 +102,19 @@ def base_spans(texts: DataFrame) -> DataFrame:
     return _placed(texts, BASE, False).where(is_valid(F.col("kind"), F.col("match")))
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+
+
 def _words_before(front: Column) -> Column:
     """The last words of a stretch, lower-cased, as one string; null if there are fewer."""
-    words = F.filter(F.split(F.lower(front), _SPACE + "+"), lambda w: w != "")
+    words = _words(front)
     return F.when(F.size(words) >= WORDS, F.array_join(F.slice(words, -WORDS, WORDS), " "))
 
 
 def _standing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, places): how often the words of each pattern stand in the corpus."""
-    words = F.filter(F.split(F.lower("text"), _SPACE + "+"), lambda w: w != "")
+    words = _words(F.concat(F.lit(START), F.regexp_replace("text", LIKELY, f" {ITEM} ")))
     rows = texts.select(words.alias("w")).where(F.size("w") >= WORDS)
     pairs = F.arrays_zip(*[F.slice("w", i + 1, F.size("w") - (WORDS - 1)).alias(f"w{i}") for i in range(WORDS)])
     rows = rows.select(F.explode(pairs).alias("p")).select(F.concat_ws(" ", *[f"p.w{i}" for i in range(WORDS)]).alias("pattern"))

@@ -184,6 +184,31 @@ def test_contextual_pii(spark):
     assert got[100] == "card:15:30" and got[0].count("card") == 1
 
 
+def test_contextual_pii_behind_marks_and_in_lists(spark):
+    """Brackets, labels, one word behind another identifier or at the start, list items."""
+    card = [f"411111111111{x}" for x in range(1000, 9999) if brute.luhn(f"411111111111{x}")][:8]
+    mail = [f"jo{c}@site{c}.org" for c in "abcdefgh"]
+    phone = [f"+1 555 010 77{i}3" for i in range(8)]
+    unknown = "411111111111999"
+    shapes = [
+        ("Filler {n} reply to <{x}> soon", mail, "jo(at)site.org", "email"),
+        ("Filler {n} contact address:{x} thanks", mail, "jo(at)site.org", "email"),
+        ("Filler {n} charge card:{x} thanks", card, unknown, "card"),
+        ("Paid {x} yesterday {n}", card, unknown, "card"),
+        ("Filler {n} both +49 171 5550{n}23, visa {x} yesterday", card, unknown, "card"),
+        ("Filler {n} lines +49 171 5550{n}23, {x} open", phone, "555 010 7793", "phone"),
+    ]
+    rows, want = [], {}
+    for k, (shape, seeds, new, kind) in enumerate(shapes):
+        rows += [(100 * k + i, shape.format(n=i + 10, x=x)) for i, x in enumerate(seeds)]
+        text = shape.format(n=99, x=new)
+        rows.append((100 * k + 50, text))
+        want[100 * k + 50] = f"{kind}:{text.index(new)}:{text.index(new) + len(new)}"
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("s", pii.spelled("spans"))
+    got = {r.doc_id: r.s.split(",") for r in found.collect()}
+    assert {i: w for i, w in want.items() if w not in got[i]} == {}
+
+
 def test_substring(spark):
     passage = " ".join(f"passage{i}" for i in range(60))
     rows = [(i, f"{'x' * i} intro {i} " + " ".join(f"u{i}q{j}" for j in range(200)) + (passage if i < 3 else "") + f" end {i}") for i in range(6)]
