@@ -44,6 +44,13 @@ _HREF = r"(?i)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _TARGET = r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s<>]+)"
 
 
+_BASE = r"(?i)<base\b[^<>]*>"
+_DOTS = r"(?s)(^|/)\.\.?(/|$)"
+#: Character references: a number, or one of NAMED.
+_CODE = r"(?s)^#(?:0*([0-9]{1,7})|[xX]0*([0-9A-Fa-f]{1,6}));"
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
 def _part(url: Column, group: int) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, group), F.lit(""))
 
@@ -58,7 +65,38 @@ def path(url: Column) -> Column:
 
 def address(url: Column) -> Column:
     """Host, path and query: what two spellings of one address share. Null for what is no absolute URL."""
-    return F.when(url.contains("://"), F.concat(host(url), path(url), _part(url, 3)))
+    return F.when(url.contains("://"), F.concat(host(url), _without_dots(path(url)), _part(url, 3)))
+
+
+def _without_dots(path_: Column) -> Column:
+    """A path without its segments '.' and '..'."""
+    parts = F.split(path_, "/", -1)
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.when(path_.rlike(_DOTS), F.array_join(kept, "/")).otherwise(path_)
+
+
+def _decoded(text: Column) -> Column:
+    """Text of an attribute, its character references replaced in one pass."""
+
+    def read(x: Column) -> Column:
+        ten, hexa = F.regexp_extract(x, _CODE, 1), F.regexp_extract(x, _CODE, 2)
+        code = F.when(ten != "", ten.cast("int")).when(hexa != "", F.conv(hexa, 16, 10).cast("int"))
+        sound = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(sound, code)), 8, "0")), "UTF-32")
+        out = F.when(sound, F.concat(sign, F.regexp_replace(x, _CODE, "")))
+        for name, sign in NAMED.items():
+            out = out.when(x.startswith(name + ";"), F.concat(F.lit(sign), F.substring(x, len(name) + 2, 1 << 30)))
+        return out.otherwise(F.concat(F.lit("&"), x))
+
+    parts = F.split(text, "&", -1)
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), read)
+    return F.when(text.contains("&"), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(text)
 
 
 def rule_of(host_: Column, path_: Column, rules: Sequence[Rule], value) -> Column:
@@ -80,6 +118,7 @@ def _absolute(target: Column, url: Column) -> Column:
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(site, target))
         .when(target.startswith("#") | (target == ""), url)
+        .when(target.startswith("?"), F.concat(site, path(url), target))
         .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), target))
     )
 
@@ -97,9 +136,16 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         F.transform(tags(_LINK, _CANONICAL), href),
         F.transform(tags(_META, _REFRESH), lambda x: F.regexp_extract(x, _TARGET, 1)),
     )
-    rows = linked.select("url", F.explode(targets).alias("target"))
-    rows = rows.select(address(F.col("url")).alias("a"), address(_absolute(F.trim("target"), F.col("url"))).alias("b"))
-    return rows.where("a <> b").distinct()
+    base = F.get(F.transform(tags(_BASE, _HREF), href), F.lit(0))
+    # Each step passes through explode(), which keeps the optimizer from writing one step out inside the next many times.
+    step = lambda rows, **cols: rows.select("url", F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("x")).select("url", "x.*")
+    rows = linked.select("url", base.alias("base"), F.explode(targets).alias("target"))
+    rows = step(rows, base=F.trim(_decoded(F.col("base"))), target=F.trim(_decoded(F.col("target"))))
+    seen_from = F.when(F.col("base").isNull(), F.col("url")).otherwise(_absolute(F.col("base"), F.col("url")))
+    rows = step(rows.where("target <> ''"), target=F.col("target"), seen_from=seen_from)
+    rows = step(rows, target=_absolute(F.col("target"), F.col("seen_from")))
+    rows = step(rows, a=address(F.col("url")), b=address(F.col("target")))
+    return rows.where("a <> b").select("a", "b").distinct()
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -1,7 +1,9 @@
 """The operators against brute force on small tables with nulls, empty and long texts, ties and repeats."""
 
 
+import html
 from pathlib import Path
+from urllib import parse
 
 import numpy as np
 import pyarrow as pa
@@ -284,3 +286,30 @@ def test_urls(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "allow"}
 
 
+
+
+def test_urls_spelled_as_html_does(spark):
+    """Edges against the standard library's joining and decoding; a block reaches the page a link names."""
+    here = "http://a.net/d/e/page?page=1"
+    forms = [
+        ("?page=2&amp;ref=x", None), ("?a=1&#38;b=2&#x26;c=%C3&#233;", None), ("x?a=&amp;lt;&quot", None), ("../x", None), ("./x/./y/..", None),
+        ("../../../../z", None), ("/q/../r", None), ("?q=1", None), ("y", "/base/dir/"), ("?q=2", "/base/file"), ("../y", "http://B.net/s/t/u"),
+        ("http://c.net/k/../m?u=../n", None), ("//c.net/./n", None),
+    ]
+    pages, want = [], {}
+    for i, (target, base) in enumerate(forms):
+        url = f"{here}&n={i}"
+        front = f"<base target=_top><base href='{base}'>" if base else ""
+        tag = f'<link rel="canonical" href="{target}">' if i % 2 else f'<meta http-equiv="refresh" content="0; url={target}">'
+        pages.append((i, url, front + tag.replace("&quot", "&amp;") if "&quot" in target else front + tag))
+        target = html.unescape(target.replace("&quot", "&amp;"))
+        want[f"a.net/d/e/page?page=1&n={i}"] = parse.urljoin(parse.urljoin(url, base or ""), target).split("://")[1].replace("B.net", "b.net")
+    # urljoin leaves the dots of addresses with a host of their own
+    want |= {"a.net/d/e/page?page=1&n=11": "c.net/m?u=../n", "a.net/d/e/page?page=1&n=12": "c.net/n"}
+    pages.append((90, "http://f.net/", "<base href='http://g.net/'><meta http-equiv=refresh content=5><link rel=canonical href=''>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.a: r.b for r in urls.alias_edges(df).collect()} == want
+    pair = [(1, "http://h.net/s/x?b=1&c=2", ""), (2, "http://h.net/s/t/y", '<link rel=canonical href="../x?b=1&amp;c=2">')]
+    pair.append((3, "http://h.net/s/x?b=1&c=2#f", '<link rel=canonical href="http://Q.com/de/1">'))
+    df = spark.createDataFrame(pair, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urls.judge(df).collect()} == {1: "block", 2: "block", 3: "block"}
