@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import coder, lines, mixing, neardup, packing, pii, quality, substring, topk, urls
+from grainmill.llm import coder, lines, manifest, mixing, neardup, packing, pii, quality, substring, topk, urls
 from grainmill.session import fresh_path
 from grainmill.sources.tables import Tables
 
@@ -227,3 +227,68 @@ def op8_token_files(t: Tables) -> DataFrame:
     coder.write_tokens(t.documents, path)
     found = coder.read_tokens(t.spark, path)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+MERKLE_SQL = r"""
+with recursive spelt as (
+  select row_number() over () as r, doc_id, source, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-')
+           || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+           || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as front, text,
+         list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint),
+           lambda c, b: list_reduce(range(8), lambda a, i: xor(a >> 1, (a & 1) * 3988292384), xor(c, b)), 4294967295) & 1 as odd
+  from documents
+), leaves as (
+  select *, sha256(front || coalesce(strlen(text) || ':' || text, '-')) as leaf, case when odd = 1 then
+           sha256(front || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) end as changed
+  from spelt
+), placed as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf, r) - 1 as i from leaves
+), up as (
+  select source, 0 as l, i as j, leaf as h, count(*) over (partition by source) as c from placed
+  union all
+  select source, l + 1, j // 3, sha256(string_agg(h, '' order by j)), (c + 2) // 3 from up where c > 1 group by source, l, j // 3, c
+), subroots as (
+  select source, h as subroot, row_number() over (order by source nulls first) - 1 as t from up where c = 1
+), top as (
+  select 0 as l, t as j, subroot as h, count(*) over () as c from subroots
+  union all
+  select l + 1, j // 3, sha256(string_agg(h, '' order by j)), (c + 2) // 3 from top where c > 1 group by l, j // 3, c
+), runs as (
+  select source, l, j // 3 as p, list(h order by j) as run from up where c > 1 group by all
+), top_runs as (
+  select l, j // 3 as p, list(h order by j) as run from top where c > 1 group by all
+), below as (
+  select r, source, i as j, 0 as l, coalesce(changed, leaf) as now, '' as proof from placed
+  union all
+  select r, below.source, j // 3, below.l + 1,
+         sha256(array_to_string(run[:j % 3], '') || now || array_to_string(run[j % 3 + 2:], '')),
+         proof || array_to_string(run[:j % 3], '') || array_to_string(run[j % 3 + 2:], '')
+  from below join runs on below.source is not distinct from runs.source and below.l = runs.l and j // 3 = p
+), inside as (
+  select r, source, max_by(now, l) as now, max_by(proof, l) as proof from below group by r, source
+), beyond as (
+  select r, t as j, 0 as l, now, proof from inside join subroots on inside.source is not distinct from subroots.source
+  union all
+  select r, j // 3, beyond.l + 1, sha256(array_to_string(run[:j % 3], '') || now || array_to_string(run[j % 3 + 2:], '')),
+         proof || array_to_string(run[:j % 3], '') || array_to_string(run[j % 3 + 2:], '')
+  from beyond join top_runs on beyond.l = top_runs.l and j // 3 = p
+), ends as (
+  select r, max_by(now, l) as folded_root, sha256(max_by(proof, l)) as proof_sha256 from beyond group by r
+)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified
+from placed join ends using (r) join subroots on placed.source is not distinct from subroots.source,
+     (select h as root from top where c = 1)
+"""
+
+
+@query(sql=MERKLE_SQL)
+def op13_merkle_manifest(t: Tables) -> DataFrame:
+    fields = [F.col(c) for c in manifest.COLUMNS[:-1]]
+    broken = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    broken = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, manifest.leaf_digest([*fields, broken]))
+    found = manifest.manifest(t.documents, carry={"broken": broken})
+    end = manifest.folded(F.coalesce("broken", "leaf"), F.col("proof"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        end.alias("folded_root"), (end == F.col("root")).alias("verified"),
+    )
