@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import coder, lines, manifest, mixing, neardup, packing, pii, quality, substring, topk, urls
+from grainmill.llm import coder, hardneg, lines, manifest, mixing, neardup, packing, pii, quality, substring, topk, urls
 from grainmill.session import fresh_path
 from grainmill.sources.tables import Tables
 
@@ -292,3 +292,33 @@ def op13_merkle_manifest(t: Tables) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"),
         end.alias("folded_root"), (end == F.col("root")).alias("verified"),
     )
+
+
+HARD_SQL = """
+with sound as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.r as a, a.vec_id as anchor_id, c.r as c, c.vec_id, a.label = c.label as same,
+         list_inner_product(a.v, c.v)::bigint as score
+  from sound a join sound c on a.r <> c.r and len(a.v) = len(c.v) where a.vec_id % 100 = 0
+), positives as (
+  select a, anchor_id, c as p, vec_id as positive_id, score as positive_score from scored
+  where same qualify row_number() over (partition by a order by score desc, vec_id) <= 5
+)
+select positives.anchor_id, positive_id, row_number() over w::int as rank, vec_id as negative_id, positive_score,
+       score as negative_score
+from positives join scored on positives.a = scored.a
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+window w as (partition by positives.a, p order by score desc, vec_id)
+qualify row_number() over w <= 10
+"""
+
+
+@query(sql=HARD_SQL)
+def op11_hard_negatives(t: Tables) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(t.embeddings.select("vec_id", "embedding", label.alias("label")), every=100)
