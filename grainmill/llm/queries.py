@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import coder, hardneg, lines, manifest, mixing, neardup, packing, pii, quality, substring, topk, urls
+from grainmill.llm import coder, hardneg, licenses, lines, manifest, mixing, neardup, packing, pii, quality, substring, topk, urls
 from grainmill.session import fresh_path
 from grainmill.sources.tables import Tables
 
@@ -322,3 +322,16 @@ qualify row_number() over w <= 10
 def op11_hard_negatives(t: Tables) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hardneg.hard_negatives(t.embeddings.select("vec_id", "embedding", label.alias("label")), every=100)
+
+
+@query
+def op12_license_scan(t: Tables) -> DataFrame:
+    found = licenses.scan_licenses(t.documents)
+    at = F.flatten(F.col("base.words"))
+    named = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    sure = F.transform(F.filter("spans", lambda s: s["sure"]), lambda s: s["label"])
+    return found.select(
+        "doc_id", "n_words", F.size(at).cast("long").alias("n_base"), F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"), named(F.col("base.label")).alias("base_labels"),
+        named(F.concat(F.col("base.label"), sure)).alias("labels"), "score",
+    )

@@ -1,12 +1,14 @@
 """Hard negatives, license scans and the Merkle manifest against brute force on small tables of odd rows."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainmill.llm import hardneg, manifest
+from grainmill.llm import hardneg, licenses, manifest
+from tests.llm.brute import UPPER
 
 VECTORS = "vec_id long, embedding array<float>, label int, shard string, `n w` string"
 
@@ -174,3 +176,100 @@ def test_manifest_of_nothing_and_of_one(spark):
     assert manifest.manifest(df.where("false")).count() == 0
     (one,) = manifest.manifest(df.where("doc_id = 501")).collect()
     assert one.leaf == one.subroot == one.root and one.proof == []
+
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words_of(text):
+    return WORDS.findall((text or "").translate(UPPER))
+
+
+def brute_base(text):
+    words = words_of(text)
+    found = {}
+    for phrase, label in licenses.PHRASES.items():
+        parts = phrase.split()
+        at = [i for i in range(len(words)) if words[i : i + len(parts)] == parts]
+        if at:
+            found[label] = at
+    return len(words), found
+
+
+def brute_spans(text, k=licenses.GRAM):
+    """Spans by plain loops: template runs in the text, close diagonals together, the best of what overlaps."""
+    words = words_of(text)
+    spans = []
+    listed = [(label, x) for label, texts in licenses.TEMPLATES.items() for x in texts]
+    for number, (label, template) in enumerate(listed):
+        known = words_of(template)
+        lines = {}
+        for p in range(len(known) - k + 1):
+            for i in range(len(words) - k + 1):
+                if words[i : i + k] == known[p : p + k]:
+                    lines.setdefault(i - p, set()).add(p)
+        groups = []
+        for d in sorted(lines):
+            if not groups or d - groups[-1][-1] > licenses.SLACK:
+                groups.append([])
+            groups[-1].append(d)
+        for group in groups:
+            at = set().union(*[lines[d] for d in group])
+            places = {p + d for d in group for p in lines[d]}
+            inside = lambda x: len({y + i for y in x for i in range(k)})
+            first, end = min(places), max(places) + k
+            share, dense = inside(at) / len(known), inside(places) / (end - first)
+            sure = share >= licenses.SHARE and dense >= licenses.SHARE
+            spans.append((first, end, number, label, share, sure, len(at) / (len(known) - k + 1), len(at)))
+    best, reach = [], None
+    for s in sorted(spans):
+        if reach is None or s[0] >= reach:
+            best.append([])
+        best[-1].append(s)
+        reach = max(reach or 0, s[1])
+    chosen = [min(x, key=lambda s: (not s[5], -s[6], -s[7], s[2])) for x in best]
+    return sorted((s[0], s[1], s[3], s[4], s[5]) for s in chosen)
+
+
+def license_texts():
+    mit, apache = licenses.TEMPLATES["mit"][0], licenses.TEMPLATES["apache"][0]
+    filler = " ".join(f"filler{i}" for i in range(5000))
+    changed = mit.replace("free of charge", "without any charge").replace("modify, merge", "modify, adapt, merge")
+    return [
+        None, "", "\n .", "mit", "MIT License", "cc by", "CC-BY-NC 4.0 or CC BY", mit, filler + " " + mit + "\n" + filler, changed,
+        mit[:200], mit + apache, apache.upper() + " " + apache, licenses.TEMPLATES["lgpl"][0], licenses.TEMPLATES["gpl"][0] * 30,
+        "gnu general public license gnu general public license", "the mit-license\u00e9 mit licenses m\u0130t l\u212aicense \u212a",
+        "licensed under the apache license, version 2.0.", "this work is licensed under something of no name at all",
+        "permission is hereby granted " * 400, " ".join(reversed(mit.split())), "x" * 100000, "a " * 30000 + "apache license",
+    ]
+
+
+@pytest.fixture(scope="module")
+def scanned(spark):
+    rows = [(i, x, "h", "r") for i, x in enumerate(license_texts())]
+    rows += [(None, "mit license", "h", "r"), (None, "no words of note", "h", "r"), (7, "apache license", "h", "r")]
+    rows += [(1, "", "h", "r"), (8, rows[8][1], "h", "r")]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, hash string, run string"))
+    return rows, found.collect()
+
+
+def test_licenses_against_brute_force(scanned):
+    rows, found = scanned
+    told = lambda i, n, base, spans: (str(i), n, sorted(base.items()), spans)
+    got = [told(r.doc_id, r.n_words, {b.label: b.words for b in r.base}, [tuple(s) for s in r.spans]) for r in found]
+    want = [told(i, *brute_base(text), brute_spans(text)) for i, text, *_ in rows]
+    assert sorted(got) == sorted(want)
+    for r in found:
+        assert r.score == (1.0 if r.base else max([s.share for s in r.spans], default=0.0))
+
+
+def test_licenses_are_found_changed_and_in_long_texts(scanned):
+    rows, found = scanned
+    labels = {r.doc_id: {s.label for s in r.spans if s.sure} for r in found if r.doc_id not in (None, 7)}
+    assert labels[8] == labels[9] == {"mit"} and labels[11] == {"mit", "apache"} and labels[12] == {"apache"}
+    assert labels[13] == {"lgpl"} and labels[14] == {"gpl"} and labels[17] == {"apache"}
+    assert not any(labels[i] for i in (1, 2, 3, 10, 18, 20, 21))
+
+
+def test_licenses_of_nothing(spark):
+    assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
