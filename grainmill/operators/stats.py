@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions.numeric import normal_kernel, normal_quantile
+from grainmill.operators.linear import cross_sums
 from grainmill.operators.profile import column_aggregate
 from grainmill.operators.scale import (
     attach_by_key,
@@ -25,6 +27,9 @@ from grainmill.operators.scale import (
     with_scalars,
 )
 
+#: Columns whose products one scan sums up.
+BLOCK = 256
+
 
 def group_summary(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """(by, mean, sd, sum) of one column; missing values are skipped."""
@@ -85,21 +90,52 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a2) * F.stddev_samp(b2))
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(x, y, r): lower triangle without diagonal, all pairs in ONE pass.
+def corr_matrix(df: DataFrame, cols: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """(x, y, r): lower triangle without diagonal, each pair over the rows where both are present.
 
-    Each row is laid out as its pairs of values and summed up per pair inside the task; a single wide
-    aggregate over all pairs would be too large for Spark to compile.
+    Every column becomes three: presence, deviation from the column's mean (0 where missing) and its square. Their sums of
+    products hold all that a pair needs, and one scan sums them, matrix by matrix and not pair by pair. More than `block`
+    columns are taken in blocks: each pair of blocks is one scan that reads its own columns alone.
     """
-    entries = [
-        F.struct(
-            F.lit(b).alias("x"), F.lit(a).alias("y"),
-            F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"),
-        )
-        for a, b in combinations(cols, 2)
-    ]
-    pairs = df.select(F.inline(F.array(*entries)))
-    return pairs.groupBy("x", "y").agg(correlation(F.col("a"), F.col("b")).alias("r"))
+    if len(cols) < 2:
+        raise ValueError("a correlation matrix needs two columns")
+    means = df.agg(*[F.avg(c).alias(c) for c in cols])
+    marked = with_scalars(df.select(*cols), means, "__mean")
+    pieces = [list(cols[i : i + block]) for i in range(0, len(cols), block)]
+    pairs = [_block_correlations(marked, a, None) for a in pieces if len(a) > 1]
+    pairs += [_block_correlations(marked, a, b) for a, b in combinations(pieces, 2)]
+    return reduce(DataFrame.unionByName, pairs)
+
+
+def _block_correlations(marked: DataFrame, first: Sequence[str], second: Sequence[str] | None) -> DataFrame:
+    """(x, y, r) of the pairs inside one block of columns, or of those with one column in each of two."""
+    cols = [*first, *(second or ())]
+    parts = []
+    for c in cols:
+        away = F.col(c).cast("double") - F.col(f"__mean.{c}")
+        parts += [F.col(c).isNotNull().cast("double"), F.coalesce(away, F.lit(0.0)), F.coalesce(away * away, F.lit(0.0))]
+    sums = cross_sums(marked, parts, checked=False).where("i > 0")
+    kinds = sums.select(
+        F.floor((F.col("i") - 1) / 3).alias("x"), ((F.col("i") - 1) % 3).alias("kind"), F.expr("slice(sums, 2, size(sums) - 1)").alias("s")
+    )
+    named = [F.max(F.when(F.col("kind") == k, F.col("s"))).alias(n) for k, n in enumerate(("present", "away", "square"))]
+    later = F.sequence(F.lit(0), F.lit(len(first) - 1) if second else F.col("x").cast("int") - 1)
+    rows = kinds.groupBy("x").agg(*named).where(F.col("x") >= (len(first) if second else 1))
+    rows = rows.select("*", F.explode(later).alias("y"))
+    at = lambda col, kind: F.get(col, F.col("y") * 3 + kind)
+    n, a, b = at("present", 0), at("away", 0), at("present", 1)
+    aa, bb, ab = at("square", 0), at("present", 2), at("away", 1)
+
+    def spread(total: Column, squares: Column) -> Column:
+        """Squared deviations from the mean over the rows of the pair; null for a constant."""
+        left = squares - total * total / n
+        return F.when(left > squares * 1e-12, left)
+
+    value = (ab - a * b / n) / F.sqrt(spread(a, aa) * spread(b, bb))
+    name = F.array(*[F.lit(c) for c in cols])
+    return rows.select(
+        F.get(name, F.col("x").cast("int")).alias("x"), F.get(name, "y").alias("y"), F.when(n > 0, value).alias("r")
+    )
 
 
 def corr_with_target(df: DataFrame, cols: Sequence[str], target: str, k: int, weakest: bool = True) -> DataFrame:

@@ -112,56 +112,6 @@ def ols_formula(t):
     return scored.select("id", r(F.expm1("y"), 4).alias("actual"), r(F.expm1("prediction"), 4).alias("pred"))
 
 
-def _penalised(t, mix, penalty):
-    train, new = _houses(t)
-    model = LinearRegression(labelCol="y", elasticNetParam=mix, regParam=penalty, maxIter=100)
-    return models.fit_and_score(_house_stages(), model, train, new, "y")
-
-
-@query("lasso_regression")
-def lasso_regression(t):
-    return _penalised(t, 1.0, 0.00356)[1]
-
-
-@query("ridge_regression")
-def ridge_regression(t):
-    return _penalised(t, 0.0, 0.1)[1]
-
-
-@query("elastic_net")
-def elastic_net(t):
-    """Both penalties tuned on a grid."""
-    train, _ = _houses(t)
-    _, features = models.prepare(_house_stages(), train, ["id", "y", "fold", "features"])
-    model = LinearRegression(labelCol="y", maxIter=50)
-    grid = (
-        ParamGridBuilder().addGrid(model.regParam, [0.001, 0.01, 0.1]).addGrid(model.elasticNetParam, [0.0, 0.5, 1.0]).build()
-    )
-    return models.grid_search(model, grid, RegressionEvaluator(labelCol="y"), features, "fold", 3)[1]
-
-
-@query("nonzero_coefficients")
-def nonzero_coefficients(t):
-    model, _ = _penalised(t, 1.0, 0.005)
-    table = models.coefficients(model, t.spark)
-    return table.agg(
-        F.count(F.lit(1)).alias("n_coefficients"), F.count_if(F.col("coefficient") != 0).alias("n_nonzero")
-    )
-
-
-@query("linear_probability")
-def linear_probability(t):
-    """A straight line on a 0/1 target, cut at two thresholds."""
-    train, new = _texts(t)
-    stages = models.feature_stages(list(tx.text_features()), scale=True)
-    _, scored = models.fit_and_score(stages, LinearRegression(labelCol="target", regParam=1e-4), train, new, "target")
-    return scored.select(
-        "id", "target", "prediction",
-        metrics.threshold_label(F.col("prediction"), 0.6).alias("label_60"),
-        metrics.threshold_label(F.col("prediction"), 0.65).alias("label_65"),
-    )
-
-
 @query("logistic_elastic_net")
 def logistic_elastic_net(t):
     train, new = _texts(t)
@@ -256,31 +206,6 @@ def auc_search_cv(t):
     return models.grid_search(model, grid, BinaryClassificationEvaluator(labelCol="target"), features, "fold", 3)[1]
 
 
-# ---- scoring -----------------------------------------------------------------------------------
-
-
-@query("score_and_submit")
-def score_and_submit(t):
-    """Predictions of new rows, back on the price scale, written as CSV."""
-    _, scored = _penalised(t, 1.0, 0.00356)
-    path = fresh_path(t.spark, "submission")
-    files.write_csv(scored.select("id", F.exp("prediction").alias("sale_price")), path)
-    return files.read_csv(t.spark, path, "id long, sale_price double")
-
-
-@query("component_model_sum")
-def component_model_sum(t):
-    """Registered and casual rentals modelled apart, added after each is taken back from its logarithm."""
-    train, new = _rides(t)
-    stages = models.feature_stages(*_RIDE_STAGES)
-    parts = []
-    for label in ("y", "y_casual"):
-        model = LinearRegression(labelCol=label, elasticNetParam=0.5, regParam=0.01)
-        _, scored = models.fit_and_score(stages, model, train, new, label)
-        parts.append(scored.select("id", F.col("prediction").alias("pred")))
-    return metrics.sum_components(*parts, F.expm1)
-
-
 # ---- vectors -----------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -44,6 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def share_code(spark: SparkSession) -> None:
+    """Puts the package on the import path of Python workers (separate machines get it by --py-files)."""
+    home = str(Path(__file__).resolve().parents[1])
+    now = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in now.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{home}:{now}".rstrip(":")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """New path under the shared folder; no two calls return the same one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
