@@ -10,46 +10,23 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PCA, RFormula, StandardScaler, VectorAssembler, VectorSlicer, Word2Vec
+from pyspark.ml.feature import PCA, RFormula, StandardScaler, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as tx
-from grainmill.operators import metrics, models, resample, textmine
+from grainmill.operators import models, resample, sparse, textmine
 from grainmill.operators.scale import settle
 from grainmill.plans.mining import ranked_with_vectors
 from grainmill.plans.registry import query
-from grainmill.plans.roles import LABELLED, RIDES, houses, labelled, r, rides, tweets
-from grainmill.session import fresh_path
-from grainmill.sources import files
+from grainmill.plans.roles import LABELLED, RIDES, labelled, r, rides, tweets
+from grainmill.plans.words import tokens_sql
 
 # ---- tables for training -----------------------------------------------------------------------
 
 
-def _houses(t):
-    """Complete rows with the log price as target, split by id hash."""
-    h = houses(t).na.fill({"lot_frontage": 0.0, "lot_area": 0.0, "liv_area": 0.0, "rooms": 0, "baths": 0})
-    h = h.na.fill({"quality": "None", "zoning": "None"}).withColumns(
-        {
-            "neighborhood": F.col("neighborhood").cast("string"),
-            "y": F.log("sale_price"),
-            "age": (F.col("yr_sold") - F.col("year_built")).cast("double"),
-        }
-    )
-    h = resample.kfold(resample.random_split(h, "id", 0.75, 1491), "id", 3, 7)
-    return h.where("part = 'train'"), h.where("part = 'holdout'")
-
-
-_NUMERIC = ["lot_frontage", "lot_area", "liv_area", "rooms", "baths", "age", "balance"]
-_CATEGORIES = ["quality", "zoning", "status"]
-
-
-def _house_stages(scale=True):
-    return models.feature_stages(_NUMERIC, _CATEGORIES, scale)
-
-
 def _rides(t):
     src = rides(t).withColumns(
         {
@@ -62,7 +39,7 @@ def _rides(t):
             "workday": F.col("workingday").cast("string"),
         }
     )
-    src = resample.kfold(resample.random_split(src, "id", 0.75, 29), "id", 3, 11)
+    src = resample.kfold(resample.random_split(src, "id", 0.75, 29), "id", 5, 11)
     return src.where("part = 'train'"), src.where("part = 'holdout'")
 
 
@@ -209,22 +186,53 @@ def auc_search_cv(t):
 # ---- vectors -----------------------------------------------------------------------------------
 
 
+_WEIGHTS = f"""{LABELLED}, {tokens_sql('labelled')}, dtm as (select id, word, count(*) as n from tokens group by id, word),
+    vocab as (select word, count(*) as docs, row_number() over (order by word) as place from dtm group by word having count(*) >= 5),
+    raw as (select id, place, n / sum(n) over (partition by id) * ln(((select count(*) from labelled) + 1) / (docs + 1)) as w from dtm join vocab using (word)),
+    terms as (select id, place, w / nullif(sqrt(sum(w * w) over (partition by id)), 0) as w from raw)"""
+_NUMBERS_SQL = f"""select id, unnest(range(0, 9)) as position, unnest([length(text), len(regexp_extract_all(text, '#')), contains(text, '#')::int,
+    len(regexp_extract_all(text, '@')), contains(text, '@')::int, len(regexp_extract_all(text, 'https?://')), regexp_matches(text, 'https?://')::int,
+    len(regexp_extract_all(text, '{tx.WORD_CHAR}+')), len(list_distinct(string_split(text, ' ')))])::double as value from labelled"""
+_LEVELS_SQL = """select id, 8 + dense_rank() over (order by keyword) as position, 1.0::double as value from labelled where keyword is not null"""
+_MATRIX = f"""{_WEIGHTS}, levels as ({_LEVELS_SQL}), numbers as ({_NUMBERS_SQL}),
+    entries as (select * from numbers union all select * from levels
+      union all select id, 8 + (select count(distinct keyword) from labelled) + place, w from terms)"""
+
+
+def combined_matrix(t):
+    """(entries, columns): nine text features, one column per keyword, L2 TF-IDF of the words in five texts or more."""
+    src = settle(labelled(t).select("id", "text", "keyword", *[c.alias(n) for n, c in tx.text_features().items()]), "texts")
+    counts = settle(textmine.doc_term_counts(src), "counts")
+    vocab = counts.groupBy("word").agg(F.count(F.lit(1)).alias("doc_count")).where("doc_count >= 5")
+    kept = textmine.restrict_to_vocabulary(counts, vocab.withColumn("docs", F.col("doc_count")), extra=["docs"])
+    weights = textmine.tfidf(kept.withColumnRenamed("docs", "doc_count"), textmine.count_of(src), "l2")
+    numbers = {n: F.col(n) for n in tx.text_features()}
+    return sparse.assemble(src, numbers, ["keyword"], weights, vocab, "tfidf")
+
+
 @query(
     "assemble_features",
-    f"""with {LABELLED} select id, cast(length(text) as double) as character_count, cast(len(regexp_extract_all(text, '#')) as double) as hashtag_count,
-        cast(contains(text, '#') as double) as has_hashtag, cast(len(regexp_extract_all(text, '@')) as double) as mention_count, cast(contains(text, '@') as double) as has_mention,
-        cast(len(regexp_extract_all(text, 'https?://')) as double) as link_count, cast(regexp_matches(text, 'https?://') as double) as has_link,
-        cast(len(regexp_extract_all(text, '{tx.WORD_CHAR}+')) as double) as word_count, cast(len(list_distinct(string_split(text, ' '))) as double) as unique_words
-        from labelled where {_split_sql('id', 3)}""",
+    f"with {_MATRIX} select id, position::bigint as position, round(value, 6) as value from entries where value <> 0",
 )
 def assemble_features(t):
-    """Numeric text features and the sparse TF-IDF vector in one vector; shown: the numeric part."""
-    train, _ = _texts(t)
-    fitted, features = models.prepare(_text_stages(), train, ["id", "features"])
-    names = list(tx.text_features())
-    front = VectorSlicer(inputCol="features", outputCol="front", indices=list(range(len(names))))
-    shown = front.transform(features).withColumn("front", vector_to_array("front"))
-    return shown.select("id", *[F.get("front", i).alias(n) for i, n in enumerate(names)])
+    """Numbers, keyword levels and TF-IDF weights of all labelled texts in one sparse matrix."""
+    entries, _ = combined_matrix(t)
+    return entries.select("id", "position", r("value").alias("value"))
+
+
+@query(
+    "assembled_columns",
+    f"""with {_MATRIX}, named as (select unnest(range(0, 9)) as position, unnest({list(tx.text_features())!r}) as name
+        union all select distinct 8 + dense_rank() over (order by keyword), 'keyword=' || keyword from labelled where keyword is not null
+        union all select 8 + (select count(distinct keyword) from labelled) + place, word from vocab)
+        select named.position::bigint as position, name, count(id)::bigint as n, round(sum(value), 4) as total
+        from named left join (select * from entries where value <> 0) e on e.position = named.position group by all""",
+)
+def assembled_columns(t):
+    """Name, entries and sum of each column of the matrix of `assemble_features`."""
+    entries, columns = combined_matrix(t)
+    sums = entries.groupBy("position").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return columns.join(sums, "position", "left").select("position", "name", F.coalesce("n", F.lit(0)).alias("n"), r("total", 4).alias("total"))
 
 
 @query("pca")
