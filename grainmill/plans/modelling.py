@@ -10,19 +10,19 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PCA, RFormula, StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.feature import PCA, RFormula, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as tx
-from grainmill.operators import models, resample, sparse, textmine
+from grainmill.operators import models, resample, sparse, textmine, vectors
 from grainmill.operators.scale import settle
 from grainmill.plans.mining import ranked_with_vectors
 from grainmill.plans.registry import query
-from grainmill.plans.roles import LABELLED, RIDES, labelled, r, rides, tweets
-from grainmill.plans.words import tokens_sql
+from grainmill.plans.roles import LABELLED, RIDES, TWEETS, labelled, r, rides, texts
+from grainmill.plans.words import WORD_SQL, tokens_sql
 
 # ---- tables for training -----------------------------------------------------------------------
 
@@ -247,21 +247,35 @@ def pca(t):
 
 @query("train_word_vectors")
 def train_word_vectors(t):
-    """Skip-gram vectors of the words of the documents."""
-    texts = settle(tweets(t).select(tx.tokens(F.col("text")).alias("tokens")), "tokens")
-    model = Word2Vec(
-        vectorSize=100, windowSize=5, minCount=10, maxIter=1, seed=1, inputCol="tokens", outputCol="v",
-        numPartitions=t.spark.sparkContext.defaultParallelism,
-    ).fit(texts)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
+    """Vectors of 100 numbers for every word of the documents that has a neighbour, from the co-occurrence table."""
+    return vectors.word_vectors(textmine.cooccurrence(texts(t)), 100)
+
+
+_PAIRS = f"""{TWEETS}, arrays as (select regexp_extract_all(lower(text), '{WORD_SQL}') as a from tweets),
+    places as (select a, unnest(range(1, len(a) + 1)) as pos from arrays),
+    near as (select a[pos] as x, a[pos + d] as y, 60 // d as w from places, range(1, 6) as u(d) where pos + d <= len(a)),
+    pairs as (select least(x, y) as x, greatest(x, y) as y, ln(1 + sum(w) / 60) as w from near group by 1, 2),
+    both as (select x as word, y as context, w from pairs union all select y, x, w from pairs where x <> y)"""
+
+
+@query(
+    "word_projection",
+    f"""with {_PAIRS}, dims as (select unnest(range(0, 6)) as dim)
+        select word, dim::int as dim, round(sum(w * case when ((strpos('0123456789abcdef', substr(md5(context || ':0'), (dim // 4 + 1)::int, 1)) - 1) >> (3 - dim % 4)::int) & 1 = 1
+        then 1 else -1 end), 4) + 0.0 as value from both, dims group by word, dim""",
+)
+def word_projection(t):
+    """The first step of `train_word_vectors`: each word's weights against the signs of its neighbours, six numbers."""
+    found = vectors.projected(textmine.cooccurrence(texts(t)), 6)
+    return found.select("word", "dim", r("value", 4).alias("value"))
 
 
 @query("embedding_classifier")
 def embedding_classifier(t):
     """Averaged word vectors, a dense layer of 16, two classes."""
     means = textmine.mean_embedding(textmine.doc_term_counts(labelled(t)), ranked_with_vectors(t))
-    vectors = settle(means.join(labelled(t).select("id", "target"), "id"), "vectors")
-    parts = resample.random_split(vectors, "id", 0.75, 3)
+    means = settle(means.join(labelled(t).select("id", "target"), "id"), "vectors")
+    parts = resample.random_split(means, "id", 0.75, 3)
     model = MultilayerPerceptronClassifier(labelCol="target", layers=[64, 16, 2], maxIter=40, seed=3)
     trained = model.fit(parts.where("part = 'train'"))
     scored = trained.transform(parts.where("part = 'holdout'"))

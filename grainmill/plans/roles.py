@@ -80,7 +80,7 @@ def tweets(t: Tables) -> DataFrame:
 
 def texts(t: Tables) -> DataFrame:
     """The documents of `tweets` for queries that use no class: without the join to `labels`."""
-    return t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("location"), "text")
+    return spread(t.documents, "doc_id").select(F.col("doc_id").alias("id"), F.col("lang").alias("location"), "text")
 
 
 TWEETS = """
