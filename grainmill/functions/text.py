@@ -128,6 +128,13 @@ def ngrams(words: Column, n: int = 2) -> Column:
     return F.coalesce(runs, F.array().cast("array<string>"))
 
 
+#: Names of the features below, in order.
+TEXT_FEATURES = [
+    "character_count", "hashtag_count", "has_hashtag", "mention_count", "has_mention", "link_count", "has_link", "word_count",
+    "unique_words",
+]
+
+
 def text_features(text: str = "text") -> dict[str, Column]:
     """The nine numeric features of a text column."""
     c = F.col(text)

@@ -7,13 +7,23 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.operators.scale import attach_by_key
+from grainmill.operators.scale import attach_by_key, key_counts
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Natural left join to the distinct rows of `table`; a key it lacks gives nulls. No broadcast hint:
-    Spark broadcasts the table when its size is below the session's threshold."""
-    return df.join(table.distinct(), key, "left")
+    """Natural left join to the distinct rows of `table`; a key it lacks gives nulls, a null key matches nothing.
+
+    The keys of `df` are counted first. A small table is broadcast; beyond that, rows of a frequent key are spread over
+    slices (`attach_by_key`), each of which meets all of the table's rows of that key.
+    """
+    payload = [c for c in table.columns if c != key]
+    found = table.where(F.col(key).isNotNull()).distinct().groupBy(key)
+    found = found.agg(F.collect_list(F.struct(*payload)).alias("__rows"))
+    stats = found.join(key_counts(df.where(F.col(key).isNotNull()), [key], "__n"), key)
+    own = [c for c in df.columns if c != key]
+    joined = attach_by_key(df, stats, [key], "__n", df.columns)
+    rows = joined.select(key, *own, F.explode_outer("__rows").alias("__row"))
+    return rows.select(key, *own, *[F.col(f"__row.{c}").alias(c) for c in payload])
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, id_: str) -> DataFrame:

@@ -13,10 +13,11 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.session import broadcast_rows, fresh_path, order_buckets, task_rows
+from grainmill.session import broadcast_bytes, fresh_path, order_buckets, shuffle_parts, stored_bytes, task_rows
 
 SAMPLE_PER_BUCKET = 16
-SLICES = 1000
+#: A frequent key is cut into slices of this part of a shuffle partition's fair share, so that partitions come out even.
+SLICES_PER_PART = 16
 
 
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
@@ -25,9 +26,13 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     For small or narrow intermediates that are read more than once: the work behind them is done a single
     time, a lost executor does not bring it back, and their real size is known to the next plan.
     """
+    return _settled(df, name)[0]
+
+
+def _settled(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
@@ -76,14 +81,16 @@ def attach_by_key(
 ) -> DataFrame:
     """Joins `stats` (one row per key, `weight` = how many of the rows have the key) to `rows`.
 
-    `stats` is written first, so that its size is known. A small one is broadcast. Beyond that, keys with a large share of the rows are split: a key with more than one thousandth of the total weight
-    is cut into slices of that size, its rows spread by a hash of `spread_by` (columns that identify a row)
-    and its one `stats` row copied once per slice. Fewer than `SLICES` keys can be that heavy, which bounds
-    the broadcast list of heavy keys.
+    `stats` is written first, so that its bytes are known. Few enough are broadcast. Beyond that, keys with more than a
+    slice, a sixteenth of a shuffle partition's fair share of the total weight, are split: rows are spread by a hash of
+    `spread_by` (columns that identify a row) and the one `stats` row is copied once per slice. There are fewer such
+    keys than slices, sixteen per shuffle partition, which bounds the broadcast list of heavy keys.
     """
-    stats = settle(stats, "stats")
+    spark = stats.sparkSession
+    stats, path = _settled(stats, "stats")
+    parts = shuffle_parts(spark) * SLICES_PER_PART
     payload = [c for c in stats.columns if c not in keys and c != weight]
-    if stats.count() <= broadcast_rows(stats.sparkSession):
+    if stored_bytes(spark, path) <= broadcast_bytes(spark):
         right = F.broadcast(
             stats.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *payload)
         )
@@ -91,9 +98,9 @@ def attach_by_key(
         return joined.drop(*[f"__r_{k}" for k in keys])
     total = scalars(stats.agg(F.sum(weight).alias("t")))["t"]
     heavy = F.broadcast(
-        stats.where(F.col(weight) * SLICES > total).select(
+        stats.where(F.col(weight) * parts > total).select(
             *[F.col(k).alias(f"__h_{k}") for k in keys],
-            F.ceil(F.col(weight) * SLICES / total).cast("int").alias("__slices"),
+            F.ceil(F.col(weight) * parts / total).cast("int").alias("__slices"),
         )
     )
     cut = F.coalesce(F.col("__slices"), F.lit(1))

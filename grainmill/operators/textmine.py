@@ -147,9 +147,11 @@ def pad(seq: Column, length: int, padding: str = "pre", truncating: str = "pre")
 
 
 def lookup_vectors(words: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """Adds `vec` to (word, ...); a word without a vector gets zeros."""
+    """Adds `vec` to (word, ...); a word without a vector gets zeros. Frequent words are spread over slices."""
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return words.join(vectors.select("word", "vec"), "word", "left").withColumn("vec", F.coalesce("vec", zero))
+    stats = vectors.select("word", "vec").join(key_counts(words, ["word"], "__n"), "word")
+    found = attach_by_key(words, stats, ["word"], "__n", words.columns)
+    return found.withColumn("vec", F.coalesce("vec", zero))
 
 
 def mean_embedding(counts: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -213,8 +213,8 @@ def ranked_with_vectors(t):
 
 @query(
     "lookup_vectors",
-    f"""with {_VECTORS} select r.word, r.rank, round(cast(coalesce(embedding[1], 0) as double), 6) + 0.0 as first, round(cast(coalesce(embedding[64], 0) as double), 6) + 0.0 as last
-        from ranked r left join vectors v on r.word = v.word""",
+    f"""with {_RANKED} select word, rank, round(cast(coalesce(embedding[1], 0) as double), 6) + 0.0 as first, round(cast(coalesce(embedding[64], 0) as double), 6) + 0.0 as last
+        from ranked left join embeddings on rank = vec_id + 1""",
 )
 def lookup_vectors(t):
     ranked = settle(textmine.ranked_vocabulary(textmine.vocabulary(texts(t))), "ranked")

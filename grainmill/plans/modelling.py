@@ -137,7 +137,7 @@ def boosted_trees(t):
 @query("boosted_trees_classes")
 def boosted_trees_classes(t):
     train, new = _texts(t)
-    stages = models.feature_stages(list(tx.text_features()))
+    stages = models.feature_stages(tx.TEXT_FEATURES)
     model = GBTClassifier(labelCol="target", maxIter=10, maxDepth=3, stepSize=0.1, seed=9)
     return models.fit_and_score(stages, model, train, new, "target")[1]
 
@@ -222,7 +222,7 @@ def assemble_features(t):
 
 @query(
     "assembled_columns",
-    f"""with {_MATRIX}, named as (select unnest(range(0, 9)) as position, unnest({list(tx.text_features())!r}) as name
+    f"""with {_MATRIX}, named as (select unnest(range(0, 9)) as position, unnest({tx.TEXT_FEATURES!r}) as name
         union all select distinct 8 + dense_rank() over (order by keyword), 'keyword=' || keyword from labelled where keyword is not null
         union all select 8 + (select count(distinct keyword) from labelled) + place, word from vocab)
         select named.position::bigint as position, name, count(id)::bigint as n, round(sum(value), 4) as total
@@ -255,14 +255,14 @@ _PAIRS = f"""{TWEETS}, arrays as (select regexp_extract_all(lower(text), '{WORD_
     places as (select a, unnest(range(1, len(a) + 1)) as pos from arrays),
     near as (select a[pos] as x, a[pos + d] as y, 60 // d as w from places, range(1, 6) as u(d) where pos + d <= len(a)),
     pairs as (select least(x, y) as x, greatest(x, y) as y, ln(1 + sum(w) / 60) as w from near group by 1, 2),
-    both as (select x as word, y as context, w from pairs union all select y, x, w from pairs where x <> y)"""
+    twoway as (select x as word, y as context, w from pairs union all select y, x, w from pairs where x <> y)"""
 
 
 @query(
     "word_projection",
     f"""with {_PAIRS}, dims as (select unnest(range(0, 6)) as dim)
         select word, dim::int as dim, round(sum(w * case when ((strpos('0123456789abcdef', substr(md5(context || ':0'), (dim // 4 + 1)::int, 1)) - 1) >> (3 - dim % 4)::int) & 1 = 1
-        then 1 else -1 end), 4) + 0.0 as value from both, dims group by word, dim""",
+        then 1 else -1 end), 4) + 0.0 as value from twoway, dims group by word, dim""",
 )
 def word_projection(t):
     """The first step of `train_word_vectors`: each word's weights against the signs of its neighbours, six numbers."""

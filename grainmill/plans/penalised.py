@@ -235,14 +235,14 @@ _TEXT_ROWS = f"""{LABELLED}, h as (select id, target as y, length(text) as chara
 
 @query(
     "linear_probability",
-    f"""with {tuned_sql(_TEXT_ROWS, list(tx.text_features()), [], [1e-4], [0.0])}
+    f"""with {tuned_sql(_TEXT_ROWS, tx.TEXT_FEATURES, [], [1e-4], [0.0])}
         select id, y as target, round(pred, 6) + 0.0 as prediction, (round(pred, 6) > 0.6)::int as label_60, (round(pred, 6) > 0.65)::int as label_65 from scored where not train""",
 )
 def linear_probability(t):
     """A straight line on a 0/1 target, cut at two thresholds."""
     src = labelled(t).select("id", "target", *[c.alias(n) for n, c in tx.text_features().items()])
     src = settle(resample.kfold(resample.random_split(src, "id", 0.75, 3), "id", FOLDS, 5), "features")
-    scored = _new_rows(src, list(tx.text_features()), [], "target", [1e-4], [0.0])
+    scored = _new_rows(src, tx.TEXT_FEATURES, [], "target", [1e-4], [0.0])
     scored = scored.select("id", "target", r("prediction").alias("prediction"))
     return scored.select(
         "*", metrics.threshold_label(F.col("prediction"), 0.6).alias("label_60"),

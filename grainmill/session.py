@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 LOCAL_DIR = "/tmp/checkpoints"
-BROADCAST_ROWS = "grainmill.broadcast.rows"
+BROADCAST_BYTES = "grainmill.broadcast.bytes"
 TASK_ROWS = "grainmill.task.rows"
 
 
@@ -63,9 +63,21 @@ def order_buckets(spark: SparkSession) -> int:
     return min(4096, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def broadcast_rows(spark: SparkSession) -> int:
-    """A written table of up to this many rows may be sent to every executor."""
-    return int(spark.conf.get(BROADCAST_ROWS, "100000"))
+def broadcast_bytes(spark: SparkSession) -> int:
+    """A written table of up to this many bytes of files may be sent to every executor; files hold about a tenth of
+    what rows take in memory."""
+    return int(spark.conf.get(BROADCAST_BYTES, str(16 << 20)))
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under a path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(place).getLength()
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def task_rows(spark: SparkSession) -> int:

@@ -30,8 +30,8 @@ def spark(tmp_path_factory):
 def route(request, spark):
     """Runs a test on the one-task route and on the cut-up route."""
     if request.param == "large":
-        spark.conf.set("grainmill.broadcast.rows", "0")
+        spark.conf.set("grainmill.broadcast.bytes", "0")
         spark.conf.set("grainmill.task.rows", "0")
     yield request.param
-    spark.conf.unset("grainmill.broadcast.rows")
+    spark.conf.unset("grainmill.broadcast.bytes")
     spark.conf.unset("grainmill.task.rows")

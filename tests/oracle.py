@@ -85,7 +85,7 @@ def main(argv):
     argv = list(argv)
     if "--large" in argv:  # treat every table as too large to broadcast or to sort in one task
         argv.remove("--large")
-        spark.conf.set("grainmill.broadcast.rows", "0")
+        spark.conf.set("grainmill.broadcast.bytes", "0")
         spark.conf.set("grainmill.task.rows", "0")
         spark.conf.set("spark.sql.shuffle.partitions", "16")
     names = argv[1:] or list(plans)

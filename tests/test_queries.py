@@ -1,5 +1,9 @@
 """Every query against its SQL on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -15,6 +19,11 @@ def duck():
     return connect(FOLDER)
 
 
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[1], timeout=120)
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 

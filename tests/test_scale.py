@@ -156,3 +156,27 @@ def test_top_n_is_cut_before_the_shuffle(table):
 def test_spread_leaves_many_pieces_alone(spark, table):
     assert scale.spread(table.repartition(64), "id").rdd.getNumPartitions() == 64
     assert scale.spread(table.coalesce(1), "id").rdd.getNumPartitions() == 16
+
+
+def test_lookup_of_a_key_with_a_third_of_all_rows(spark, table, route):
+    names = spark.createDataFrame([("hot", 1), ("hot", 2), ("hot", 2), ("a", 3), (None, 4), ("z", 5)], "g string, name int")
+    got = sorted((r.id, r.name or 0) for r in joins.lookup(table, names, "g").collect())
+    rows = {"hot": [1, 2], "a": [3]}
+    assert got == sorted((r[0], n) for r in skewed() for n in rows.get(r[1], [0]))
+
+
+def test_rows_of_a_frequent_key_are_spread(spark, monkeypatch):
+    """Beyond the broadcast, no task holds more than a few shares of the rows of a key with 30 percent of them."""
+    spark.conf.set("grainmill.broadcast.bytes", "0")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(40_000).selectExpr("id", "if(id % 10 < 3, 'hot', concat('k', id % 997)) as word")
+        vectors = spark.range(997).selectExpr("concat('k', id) as word", "array(float(id), float(1)) as vec")
+        vectors = vectors.union(spark.sql("select 'hot', array(float(-1), float(0))"))
+        found = textmine.lookup_vectors(rows, vectors, 2)
+        sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 40_000 and max(sizes) < 2.5 * 40_000 / 8
+        assert found.where("word = 'hot' and vec[0] = -1").count() == 12_000
+    finally:
+        spark.conf.unset("grainmill.broadcast.bytes")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

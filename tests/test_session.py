@@ -29,7 +29,7 @@ def test_ranges_follow_the_shuffle_partitions(spark):
 
 def test_hot_key_is_joined_in_slices(spark):
     """With a third of the rows on one key, no joined partition holds more than a small part of them."""
-    spark.conf.set("grainmill.broadcast.rows", "0")
+    spark.conf.set("grainmill.broadcast.bytes", "0")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "32")
@@ -39,7 +39,7 @@ def test_hot_key_is_joined_in_slices(spark):
         per_task = [r["count"] for r in out.selectExpr("spark_partition_id() as p").groupBy("p").count().collect()]
         assert sum(per_task) == 10000 and max(per_task) < 1000
     finally:
-        spark.conf.unset("grainmill.broadcast.rows")
+        spark.conf.unset("grainmill.broadcast.bytes")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "8")
