@@ -7,6 +7,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 from grainmill.llm.text import STEP_BYTES
@@ -17,23 +18,41 @@ LONGEST = 48
 #: A space that touches other white space or an end of the text.
 _LOOSE = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
 _TIGHT = re.compile(r"(?<=\S) (?=\S)")
+_PLAIN_SPACE = re.compile(r"[^\S \n]")
+#: After these, and at the end of a piece, a comma or full stop is a token of its own.
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Pieces that one call encodes.
+TOGETHER = 2000
 _encoders: dict = {}
 
 
+def _loose(text: str) -> bool:
+    """Whether a space touches other white space or an end of the text."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text:
+        return True
+    return bool(_PLAIN_SPACE.search(text)) and bool(_LOOSE.search(text))
+
+
 class Encoder:
     """Ids of one tokenizer file, as bytes of little-endian unsigned 32-bit numbers.
 
     With `spaced`, a piece but the first begins with its space (byte-level vocabularies join the two); without,
     white space is nothing but a border. Only single spaces between other characters are borders: no
-    vocabulary of either kind joins characters across them. Strings of special tokens are ordinary text.
+    vocabulary of either kind joins characters across them. A text that holds the string of an added token goes to
+    the tokenizer as it is, which gives that token's id; with `plain`, such strings are ordinary text.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [] if plain else [x.content for x in added.values()]
+        fixed = [i for i, x in added.items() if not (plain or x.lstrip or x.rstrip or x.single_word or x.normalized)]
+        self.tokenizer.encode_special_tokens = plain
+        #: An added token that parts pieces: the tokenizer works on what stands between two of them alone.
+        self.part = (added[fixed[-1]].content, fixed[-1]) if fixed else None
         self.spaced = spaced
         self.lower = not spaced and self._direct(["A"]) == self._direct(["a"])
         self.known: dict[str, bytes] = {}
@@ -44,24 +63,60 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without added tokens, many to a call."""
+        if self.part is None:
+            return self._direct(pieces)
+        mark, number = self.part
+        joined = [mark.join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
+        out: list[bytes] = []
+        for ids in self._direct(joined):
+            numbers = np.frombuffer(ids, np.uint32)
+            cuts = np.flatnonzero(numbers == number) * 4
+            first = 0
+            for cut in cuts.tolist():
+                out.append(ids[first:cut])
+                first = cut + 4
+            out.append(ids[first:])
+        return out
+
     def pieces(self, text: str) -> list[str]:
         if self.lower:  # A-Z alone, which the vocabulary would fold as well
             text = text.encode().lower().decode()
-        parts = text.split(" ") if not _LOOSE.search(text) else _TIGHT.split(text)
+        parts = _TIGHT.split(text) if _loose(text) else text.split(" ")
         return [parts[0], *[" " + x for x in parts[1:]]] if self.spaced else parts
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of pieces not met lately. A comma or full stop after a letter is a piece of its own."""
+        """Ids of pieces not met lately. A comma or full stop after an ASCII letter is a piece of its own."""
         known, older = self.known, self.older
-        bare = {x: x[:-1] if x[-1:] in self.marks and x[-2:-1].isalpha() else x for x in new}
+        bare = {x: x[:-1] if x[-1:] in self.marks and x[-2:-1] in _LETTERS else x for x in new}
         ids = {x: known.get(x) or older.get(x) for x in {*bare.values()}}
         unmet = [x for x, found in ids.items() if found is None]
-        ids.update(zip(unmet, self._direct(unmet)))
+        ids.update(zip(unmet, self._each(unmet)))
         found = {x: ids[y] if x is y else ids[y] + self.marks[x[-1]] for x, y in bare.items()}
         known.update((x, y) for x, y in (ids | found).items() if len(x) <= LONGEST)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts."""
+        whole = [i for i, x in enumerate(texts) if self._holds_added(x)]
+        if not whole:
+            return self._by_pieces(texts)
+        apart = set(whole)
+        found = self._by_pieces([x for i, x in enumerate(texts) if i not in apart])
+        for i, ids in zip(whole, self._direct([texts[i] for i in whole])):
+            found.insert(i, ids)
+        return found
+
+    def _holds_added(self, text: str) -> bool:
+        """Whether a text, or what folding its letters makes of it, holds the string of an added token."""
+        if not any(a[0] in text for a in self.added):
+            return False
+        if self.lower:
+            text = text.lower()
+        return any(a in text for a in self.added)
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(x) for x in texts]
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}

@@ -11,7 +11,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from grainmill.llm import coder, components, lines, mixing, neardup, packing, pii, quality, substring, topk, urls
+from grainmill.llm import coder, components, lines, mixing, neardup, packing, pii, quality, substring, tokens, topk, urls
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, source string, kept string, `n lines` string"
@@ -313,3 +313,21 @@ def test_urls_spelled_as_html_does(spark):
     pair.append((3, "http://h.net/s/x?b=1&c=2#f", '<link rel=canonical href="http://Q.com/de/1">'))
     df = spark.createDataFrame(pair, "page_id long, url string, html string")
     assert {r.page_id: r.verdict for r in urls.judge(df).collect()} == {1: "block", 2: "block", 3: "block"}
+
+
+BITS = (
+    "a|B|the|\u0130|\u00c9|\u00df|\u03a3|\u03c2|,|.|, |. | |  |\n|\t|\u00a0|\u3000|1|'s|don't|<#endoftext#>|<#ENDOFTEXT#>|<#startoftext#>|<#|#>|\u6f22"
+    "|\u00e9|e\u0301|-|_|\ufb01|\x1c|\u0307|\u200d|...|,,,|I|K\u212a|evI\u0307,|BI\u0307R"
+)
+
+
+@pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_ids_are_those_of_the_library(name, spaced):
+    rng = np.random.default_rng(8)
+    bits = [x.replace("#", "|") for x in BITS.split("|")]
+    found = ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(20000)] + ["Ankara'daki ev\u0130, g\u00fczel", "T\u00dcRK\u0130YE'DEK\u0130. B\u0130R"]
+    path = public_tokenizers.path(name)
+    library, own = Tokenizer.from_file(path), tokens.Encoder(path, spaced)
+    for i in range(0, len(found), 400):
+        for text, ids in zip(found[i : i + 400], own.encode(found[i : i + 400])):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
