@@ -17,9 +17,9 @@ INNER = (np.arange(256) & 0xC0) == 0x80
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C55
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+#: Two primes below 2 ** 31 and a base for each: no pair of texts is known to agree modulo both.
+_PRIMES = ((2147483629, 1526283741), (2147483587, 1098473921))
+_tables: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint32), np.ones(1, np.uint32)) for _ in _PRIMES]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,24 +31,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _powers(base: int, prime: int, size: int) -> np.ndarray:
+    """base ** 0 .. base ** (size - 1) modulo a prime; `size` is a power of two."""
+    out = np.ones(size, np.uint64)
+    n = 1
+    while n < size:
+        out[n : 2 * n] = out[:n] * np.uint64(pow(base, n, prime)) % np.uint64(prime)
+        n *= 2
+    return out.astype(np.uint32)
+
+
 def _grow(n: int) -> None:
-    global _powers, _inverse
-    if len(_powers) <= n:
+    if len(_tables[0][0]) <= n:
         size = 1 << int(n + 1).bit_length()
-        steps = np.full(size, _BASE, np.uint64)
-        steps[0] = 1
-        _powers = np.cumprod(steps)
-        steps[1:] = pow(_BASE, -1, 1 << 64)
-        _inverse = np.cumprod(steps)
+        _tables[:] = [(_powers(b, p, size), _powers(pow(b, -1, p), p, size)) for p, b in _PRIMES]
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for each span; equal bytes give equal hashes in every task."""
+    """64-bit hash of data[start:end] for each span; equal bytes give equal hashes in every task.
+
+    The bytes are the coefficients of a polynomial, taken at one point modulo each of two primes; modulo a power of two
+    there would be short texts that agree at every point.
+    """
     _grow(len(data))
+    h = (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    letters = data.astype(np.uint64) + np.uint64(1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)], out=sums[1:])
-    h = (sums[end] - sums[start]) * _inverse[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for (prime, _), (powers, inverse) in zip(_PRIMES, _tables):
+        p = np.uint64(prime)
+        np.cumsum(letters * powers[: len(data)] % p, out=sums[1:])
+        h = mix(h + (sums[end] - sums[start]) % p * inverse[start] % p)
+    return h
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

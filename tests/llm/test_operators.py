@@ -331,3 +331,16 @@ def test_ids_are_those_of_the_library(name, spaced):
     for i in range(0, len(found), 400):
         for text, ids in zip(found[i : i + 400], own.encode(found[i : i + 400])):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_of_two_letters_in_the_order_of_thue_and_morse_differ(spark):
+    """Hashes modulo a power of two agree on such words, whatever their base."""
+    rows = []
+    for i, n in enumerate((10, 11, 12, 13)):
+        one = "".join("ab"[bin(k).count("1") % 2] for k in range(1 << n))
+        rows += [(2 * i, one), (2 * i + 1, one.translate(str.maketrans("ab", "ba")))]
+    df = spark.createDataFrame([*rows, (99, rows[0][1])], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 2).collect()}
+    assert got == {i: 0 if i == 99 else i for i in got}
+    both = spark.createDataFrame([(0, f"{rows[0][1]}\n{rows[1][1]}"), (1, f"{rows[0][1]}\n{rows[0][1]}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_dup_lines for r in quality.quality(both).collect()} == {0: 0, 1: 1}
