@@ -28,8 +28,8 @@ WIDTH = 5
 SIMILARITY = 80
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
-#: Share of equal coordinates below which a pair is not verified; eight standard deviations under 0.8.
-SURE = 0.5
+#: Share of equal coordinates below which a pair is not verified; five standard deviations under 0.8.
+SURE = 0.62
 #: Bits onto which the shingles of a set are thrown. A bit that only one of two sets has stands for a shingle that
 #: only one has, so bits that differ bound the shared shingles from above, without error.
 BITS = 2048
