@@ -167,7 +167,7 @@ def op5_url_filter(t: Tables) -> DataFrame:
 
 @query
 def op7_substring_dedup(t: Tables) -> DataFrame:
-    return substring.repeated_spans(t.documents)
+    return substring.repeated_spans(t.documents).drop("body")
 
 
 NEAR_SQL = r"""

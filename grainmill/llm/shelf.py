@@ -34,6 +34,19 @@ class Shelf:
             path.getFileSystem(conf).delete(path, True)
 
 
+def free_name(taken: Sequence[str], name: str) -> str:
+    """`name`, lengthened until no column of `taken` has it; Spark's names do not mind case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with columns c0, c1, ...: Arrow stages take no names with dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -54,3 +67,20 @@ def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str,
     found = rows.join(F.broadcast(frequent.drop(weight)), keys)
     rest = rows.join(F.broadcast(frequent.select(*keys)), keys, "left_anti")
     return found.unionByName(rest.join(table.where(~hot).drop(weight), keys, how))
+
+
+def lookup_once(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, spread_by: Sequence[str]) -> DataFrame:
+    """Inner join of `table` (written, one row per key; `weight`: how many of `rows` hold the key) to `rows`, read once.
+
+    A key with more than half a shuffle partition's fair share of the weight is cut into slices of that size: its rows
+    are dealt by a hash of `spread_by`, its row of `table` stands once per slice. There are fewer than two such keys
+    per shuffle partition, which bounds the list that is sent to every task. The plan is the same at every size.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    share = F.col(weight) * (2 * shuffle_parts(rows.sparkSession))
+    slices = F.when(share > total, F.ceil(share / F.lit(max(total, 1)))).otherwise(1).cast("int")
+    frequent = F.broadcast(table.where(share > total).select(*keys, slices.alias("slices")))
+    dealt = F.pmod(F.xxhash64(*spread_by), F.coalesce("slices", F.lit(1))).cast("int")
+    left = rows.join(frequent, list(keys), "left").withColumn("slice", dealt).drop("slices")
+    right = table.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop(weight)
+    return left.join(right, [*keys, "slice"]).drop("slice")

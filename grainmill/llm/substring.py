@@ -3,7 +3,10 @@
 A gear hash rolls over the bytes of a text; where it is the smallest of its neighbourhood a chunk ends. The cut
 depends on the bytes around it alone, not on the cut before, so a passage that stands in two texts is cut alike
 in both but for its first REACH + SHORTEST and last SHORTEST bytes. Chunks found before, in order of (doc_id,
-place), are repeats.
+hash of the text, place), are repeats.
+
+Most chunks stand once. So the texts are cut twice: first to count digests and find where each stands first,
+then to look up the repeated ones; nothing but numbers is shuffled, and no table of all chunks is written.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.llm.shelf import Shelf, lookup
+from grainmill.llm.shelf import Shelf, free_name, lookup_once, numbered
 from grainmill.llm.text import INNER, mix, steps
 
 #: A cut has the smallest hash of so many places before and behind it, so chunks are longer than that, and twice as
@@ -82,11 +85,16 @@ def cuts(data: np.ndarray, shortest: int, longest: int) -> np.ndarray:
     return np.sort(np.append(ends, forced))
 
 
+#: A chunk: its text's doc_id and hash, its place there in code points, and 12 bytes of its digest.
+CHUNK = "doc long, body long, start int, size int, h1 long, h2 int"
+DIGEST, PLACE = ["h1", "h2"], ["doc", "body", "start"]
+
+
 def _chunked(batches: Iterator[pa.RecordBatch], shortest: int, longest: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for first, data, offsets in steps(batch.column(1)):
-            doc, start, end, size, digest = [], [], [], [], []
+        keys = batch.column(0), batch.column(1)
+        for first, data, offsets in steps(batch.column(2)):
+            text, start, size, digest = [], [], [], []
             for i in range(len(offsets) - 1):
                 own = data[offsets[i] : offsets[i + 1]]
                 if not len(own):
@@ -95,20 +103,20 @@ def _chunked(batches: Iterator[pa.RecordBatch], shortest: int, longest: int) ->
                 raw = own.tobytes()
                 chars = np.concatenate([[0], np.cumsum(~INNER[own])])
                 at = np.concatenate([[0], ends])
-                doc.append(np.full(len(ends), first + i))
+                text.append(np.full(len(ends), first + i))
                 start.append(chars[at[:-1]])
-                end.append(chars[ends])
-                digest += [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at[:-1], ends)]
-            if doc:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(np.concatenate(doc))),
-                        pa.array(np.concatenate(start).astype(np.int32)),
-                        pa.array(np.concatenate(end).astype(np.int32)),
-                        pa.array(digest, pa.binary()),
-                    ],
-                    names=["doc_id", "start", "end", "digest"],
-                )
+                size.append(chars[ends] - chars[at[:-1]])
+                digest += [hashlib.blake2b(raw[a:b], digest_size=12).digest() for a, b in zip(at[:-1].tolist(), ends.tolist())]
+            if text:
+                own, parts = pa.array(np.concatenate(text)), np.frombuffer(b"".join(digest), [("h1", "<i8"), ("h2", "<i4")])
+                columns = [*[k.take(own) for k in keys], np.concatenate(start).astype(np.int32), np.concatenate(size).astype(np.int32)]
+                columns += [np.ascontiguousarray(parts["h1"]), np.ascontiguousarray(parts["h2"])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*PLACE, "size", *DIGEST])
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc, body, text): what names a text, and the text. `body` tells apart rows of one doc_id with different texts."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("body"), "text")
 
 
 def repeated_spans(
@@ -117,65 +125,65 @@ def repeated_spans(
     longest: int = LONGEST,
     min_span: int = MIN_SPAN,
 ) -> DataFrame:
-    """One row per repeated stretch: doc_id, start, end (code points, end exclusive), n_chunks, and in first_doc_id
-    the smallest document that holds one of its chunks first.
+    """One row per repeated stretch: doc_id, body (xxhash64 of the text), start, end (code points, end exclusive),
+    n_chunks, and in first_doc_id the smallest document that holds one of its chunks first.
 
-    A chunk is repeated if a chunk of the same digest stands at a smaller (doc_id, start). Neighbouring repeated
-    chunks form a stretch; those of at least `min_span` code points are returned. A passage loses what lies before
-    its first common cut and behind its last, so one not much longer than `min_span` may be left alone.
+    A chunk is repeated if a chunk of the same digest (96 bits) stands at a smaller (doc_id, body, start). Neighbouring
+    repeated chunks form a stretch; those of at least `min_span` code points are returned. A passage loses what lies
+    before its first common cut and behind its last, so one not much longer than `min_span` may be left alone.
 
-    Null or empty text and null doc_id: no rows. Rows that share a doc_id and a text count once. Other columns
-    are not read. An empty table gives an empty result.
+    Null or empty text and null doc_id: no rows. Rows that share a doc_id and a text count once; rows that share a
+    doc_id alone are different texts, in the order of `body`. Other columns are not read. An empty table gives an
+    empty result. One table of repeated digests is written and stays, as the result reads it.
     """
-    shelf = Shelf(docs.sparkSession)
-    texts = docs.where("doc_id is not null and text <> ''").selectExpr("cast(doc_id as bigint) doc_id", "text")
-    chunks = shelf.keep(
-        texts.mapInArrow(
-            lambda it: _chunked(it, shortest, longest), "doc_id long, start int, `end` int, digest binary"
-        ),
-        "chunks",
-    )
-    place = F.struct("doc_id", "start")
-    seen = chunks.groupBy("digest").agg(
-        F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")
-    )
-    seen = shelf.keep(seen.where("n > 1 and first < last").select("digest", "first", "n"), "seen")
-    again = lookup(chunks, seen, ["digest"], "n").where(F.struct("doc_id", "start") > F.col("first"))
-    order = Window.partitionBy("doc_id").orderBy("start")
-    runs = again.select("doc_id", "start", "end", F.col("first.doc_id").alias("first_doc_id")).distinct()
+    texts = _named(docs).where("doc is not null and text <> ''")
+    chunks = texts.mapInArrow(lambda it: _chunked(it, shortest, longest), CHUNK)
+    seen = chunks.groupBy(*DIGEST).agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    seen = Shelf(docs.sparkSession).keep(seen, "seen")
+    found = lookup_once(chunks, seen, DIGEST, "n", PLACE)
+    again = found.where(F.struct(*PLACE) > F.col("first")).select(*PLACE, "size", F.col("first.doc").alias("first_doc"))
+    order = Window.partitionBy("doc", "body").orderBy("start")
+    runs = again.dropDuplicates(PLACE).withColumn("end", F.col("start") + F.col("size"))
     runs = runs.withColumn("opens", (F.lag("end", 1, -1).over(order) < F.col("start")).cast("long"))
     runs = runs.withColumn("run", F.sum("opens").over(order))
-    spans = runs.groupBy("doc_id", "run").agg(
+    spans = runs.groupBy("doc", "body", "run").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.count(F.lit(1)).alias("n_chunks"),
-        F.min("first_doc_id").alias("first_doc_id"),
+        F.min("first_doc").alias("first_doc_id"),
     )
-    return spans.where(F.col("end") - F.col("start") >= min_span).drop("run")
+    return spans.where(F.col("end") - F.col("start") >= min_span).drop("run").withColumnRenamed("doc", "doc_id")
 
 
 def cut_repeats(docs: DataFrame, **kinds) -> DataFrame:
-    """`docs` with every repeated stretch taken out of `text`; other columns stay."""
-    spans = repeated_spans(docs, **kinds).groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__gone")
+    """`docs` with every repeated stretch taken out of `text`; other columns stay, whatever their names.
+
+    What is repeated, and which rows count once, is as in `repeated_spans`: all rows that share a doc_id and a text lose
+    the same stretches, rows that share a doc_id alone lose their own. Null or empty text and null doc_id: the row
+    stays as it is. An empty table gives an empty result.
+    """
+    spans = repeated_spans(docs, **kinds).groupBy(F.col("doc_id").alias("doc"), "body").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone")
     )
+    gone = free_name(docs.columns, "gone")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.withColumn("__doc", F.col("doc_id")).join(
-        spans.withColumnRenamed("doc_id", "__doc"), "__doc", "left"
-    ).select(*own, "__gone")
-    at = docs.columns.index("text")
+    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("body"))
+    known = "doc is not null and row.text <> ''"
+    found = rows.where(known).join(spans, ["doc", "body"], "left").select("row.*", F.col("gone").alias(gone))
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                if text and gone:
-                    ends = [0, *[x["end"] for x in gone]]
-                    starts = [*[x["start"] for x in gone], len(text)]
+            for text, lost in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if lost:
+                    ends = [0, *[x["end"] for x in lost]]
+                    starts = [*[x["start"] for x in lost], len(text)]
                     text = "".join([text[a:b] for a, b in zip(ends, starts)])
                 out.append(text)
             cols = batch.columns[:-1]
             cols[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    cut = numbered(found).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    return cut.unionByName(rows.where(f"not coalesce({known}, false)").select("row.*"))

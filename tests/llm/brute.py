@@ -98,6 +98,54 @@ def line_dedup(rows, least=10):
     return {i: "\n".join(x for x in lines if kept(i, x)) for i, lines in rows}
 
 
+def cuts(data, gear, shortest, longest, reach, shift):
+    """Ends of chunks, byte by byte: local minima of the gear hash, at least `shortest` apart, then the longest length."""
+    top = 0xFFFFFFFF
+    inner = [b & 0xC0 == 0x80 for b in data]
+    h = []
+    for i in range(len(data) - 1):
+        value = sum(int(gear[data[i - j]]) << (shift * j) for j in range(min(reach, i + 1))) & top
+        h.append(top if inner[i + 1] else value)
+    ends = []
+    for i, x in enumerate(h):
+        around = h[max(0, i - shortest) : i] + h[i + 1 : i + 1 + shortest]
+        if x != top and x <= min(around, default=top) and (not ends or i + 1 - ends[-1] > shortest):
+            ends.append(i + 1)
+    out, last = [], 0
+    for end in [*ends, len(data)]:
+        while end - last > longest:
+            last += longest
+            while inner[last]:
+                last -= 1
+            out.append(last)
+        out.append(end)
+        last = end
+    return out
+
+
+def repeated_spans(rows, cut, least):
+    """{(doc, body): [(start, end, chunks, first document)]} of rows (doc, body, text); `cut` gives the ends of chunks."""
+    chunks, first = {}, {}
+    for doc, body, text in sorted({r for r in rows if r[0] is not None and r[2]}):
+        raw, at = text.encode(), 0
+        for end in cut(raw):
+            start = len(raw[:at].decode())
+            chunks.setdefault((doc, body), []).append((start, len(raw[:end].decode()), raw[at:end]))
+            first.setdefault(raw[at:end], (doc, body, start))
+            at = end
+    out = {}
+    for key, own in chunks.items():
+        runs = []
+        for start, end, raw in own:
+            if first[raw] < (*key, start):
+                if not runs or runs[-1][1] < start:
+                    runs.append([start, end, 0, first[raw][0]])
+                runs[-1][1:] = end, runs[-1][2] + 1, min(runs[-1][3], first[raw][0])
+        if found := [tuple(r) for r in runs if r[1] - r[0] >= least]:
+            out[key] = found
+    return out
+
+
 def components(edges):
     parent = {}
 
