@@ -1,6 +1,6 @@
 """Exact top-k search by inner product: a ball tree per shard, branch and bound over its nodes.
 
-Rows are dealt to shards of bounded size by a hash of their id. Each shard becomes one row: its vectors in tree
+Rows are dealt to shards of bounded size by a hash of their id and place. Each shard becomes one row: its vectors in tree
 order. A query is first searched in its own shard; the k-th score found there goes with it to every other shard
 and cuts off the balls that cannot reach it. Queries travel in blocks, so a shard is opened once per block.
 """
@@ -118,7 +118,7 @@ def whole_units(embedding: Column, unit: int) -> Column:
 
 
 def _sharded(part: pd.DataFrame, every: int, k: int, leaf: int) -> pd.DataFrame:
-    part = part.sort_values("vec_id")
+    part = part.sort_values(["vec_id", "row"])
     ids = part["vec_id"].to_numpy(np.int64)
     vectors = np.array(part["vector"].tolist(), np.float64).reshape(len(ids), -1)
     tree = BallTree(ids, vectors, leaf)
@@ -156,16 +156,17 @@ def top_k(rows: DataFrame, every: int, unit: int = 256, k: int = K, shard: int =
     vec_id is divisible by `every`. Equal scores: the smaller vec_id first. Fewer than k others: all of them.
 
     No part take rows with null vec_id, a null vector, or a component that is null or not finite. Rows that share
-    a vec_id are one: the smallest vector counts. Only vectors of equal length are compared. Scores are exact
+    a vec_id, equal ones too, are candidates of their own, but not for a query of that vec_id; queries that share one
+    have one list, the k best scores of any of them. Only vectors of equal length are compared. Scores are exact
     below 2 ** 53. Other columns are not read. An empty table gives an empty result.
     """
     shelf = Shelf(rows.sparkSession)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     sound = rows.where("vec_id is not null and embedding is not null").where(finite)
     units = sound.select(F.col("vec_id").cast("long").alias("vec_id"), whole_units(F.col("embedding"), unit).alias("vector"))
-    vectors = shelf.keep(units.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
+    vectors = shelf.keep(units.withColumn("row", F.monotonically_increasing_id()), "vectors")
     shards = max(1, -(-vectors.count() // shard))
-    number = F.size("vector").cast("long") * shards + F.pmod(F.xxhash64("vec_id"), F.lit(shards))
+    number = F.size("vector").cast("long") * shards + F.pmod(F.xxhash64("vec_id", "row"), F.lit(shards))
     binary = "shard long, width int, ids binary, vectors binary, nodes binary, q_ids binary, q_vectors binary, q_kth binary"
     trees = shelf.keep(
         vectors.withColumn("shard", number).groupBy("shard").applyInPandas(lambda p: _sharded(p, every, k, leaf), binary),
