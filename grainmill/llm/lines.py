@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.shelf import Shelf, lookup
+from grainmill.llm.shelf import Shelf, free_name, lookup, numbered
 
 BATCHES = 4
 MIN_CHARS = 10
@@ -96,7 +96,7 @@ def repeated_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN
     return reduce(DataFrame.unionByName, dropped)
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+def _assemble(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Takes the lines at the listed positions (last column) out of the text in column `at`."""
     for batch in batches:
         texts, gone = batch.column(at), batch.column(batch.num_columns - 1)
@@ -109,8 +109,9 @@ def _assemble(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordB
             counts.append(len(drop))
         cols = [batch.column(i) for i in range(batch.num_columns - 1)]
         cols[at] = pa.array(out, pa.string())
-        names = [*batch.schema.names[:-1], "n_lines", "n_dropped"]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays(
+            [*cols, pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], [*names, "n_lines", "n_dropped"]
+        )
 
 
 def drop_repeated_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -120,14 +121,17 @@ def drop_repeated_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int
     `min_chars` code points keeps its lines only in the smallest doc_id that holds it, all of them there.
 
     Null or empty text: one empty line, text "". Rows that share a doc_id are one document. Null doc_id:
-    the row stays as it is and is compared with nothing. Columns named n_lines or n_dropped are replaced.
+    the row stays as it is and is compared with nothing. Columns named n_lines or n_dropped are replaced,
+    all others stay, whatever their names.
     An empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    gone = repeated_lines(docs, batches, min_chars).groupBy("doc", "body").agg(F.collect_set("pos").alias("__gone"))
-    marked = docs.withColumns({"__doc": F.col("doc_id"), "__body": F.xxhash64("text")})
-    gone = gone.withColumnsRenamed({"doc": "__doc", "body": "__body"})
-    joined = marked.join(gone, ["__doc", "__body"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__gone")
-    at = docs.columns.index("text")
+    doc, body, lost = (free_name(docs.columns, x) for x in ("doc", "body", "gone"))
+    gone = repeated_lines(docs, batches, min_chars).groupBy(F.col("doc").alias(doc), F.col("body").alias(body)).agg(
+        F.collect_set("pos").alias(lost)
+    )
+    marked = docs.withColumns({doc: F.col("doc_id"), body: F.xxhash64("text")})
+    joined = marked.join(gone, [doc, body], "left").select(*[F.col(f"`{c}`") for c in docs.columns], lost)
+    names, at = docs.columns, docs.columns.index("text")
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return joined.mapInArrow(lambda it: _assemble(it, at), f"{fields}, n_lines long, n_dropped long")
+    return numbered(joined).mapInArrow(lambda it: _assemble(it, at, names), f"{fields}, n_lines long, n_dropped long")

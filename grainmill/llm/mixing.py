@@ -126,15 +126,14 @@ def mixed_documents(docs: DataFrame, **kinds) -> DataFrame:
     """The mix itself, in the columns of `docs`: a document stands as often as it is taken, the last time
     perhaps cut after some of its words. Documents of which no word is taken are left out.
 
-    Rows equal in doc_id and text all stand as often as the one of them that is taken most.
+    Rows equal in doc_id and text all stand as often as the one of them that is taken most. All columns but `text`
+    stay, whatever their names. Null or empty text is never taken. An empty table gives an empty result.
     """
     taken = mix_sources(docs, **kinds).where("taken > 0").groupBy("doc_id", "body", "size").agg(F.max("taken").alias("t"))
-    right = taken.select(
-        F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("size").alias("__size"), F.col("t").alias("__t")
-    )
+    right = taken.select(F.col("doc_id").alias("__id"), "body", "size", "t")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    left = docs.select(*own, F.xxhash64("text").alias("__hash"))
-    joined = left.join(right, left["doc_id"].eqNullSafe(right["__id"]) & (left["__hash"] == right["__body"]))
-    copies = joined.withColumn("__left", F.explode(F.sequence("__t", F.lit(1).cast("long"), -F.col("__size"))))
-    text = F.when(F.col("__left") >= F.col("__size"), F.col("text")).otherwise(first_words("text", F.col("__left")))
-    return copies.withColumn("text", text).select(*own)
+    left = docs.select(F.struct(*own).alias("row"), F.col("doc_id"), F.xxhash64("text").alias("hash"))
+    joined = left.join(right, left["doc_id"].eqNullSafe(right["__id"]) & (left["hash"] == right["body"]))
+    copies = joined.select("row", "size", F.explode(F.sequence("t", F.lit(1).cast("long"), -F.col("size"))).alias("words"))
+    text = F.when(F.col("words") >= F.col("size"), F.col("row.text")).otherwise(first_words("row.text", F.col("words")))
+    return copies.withColumn("row", F.col("row").withField("text", text)).select("row.*")

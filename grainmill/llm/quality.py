@@ -14,6 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from grainmill.llm.shelf import numbered
 from grainmill.llm.text import INNER, SPACE, mix, per_text, span_hashes, steps, word_spans
 
 LEVEL = 3
@@ -156,14 +157,15 @@ def quality(
     Null or empty text: all counts 0, ratio 1, base_failed. Repeated rows are judged alike. Other columns stay;
     those named like a result are replaced. An empty table gives an empty result.
     """
-    names = [x.split()[0] for x in COLUMNS.split(", ")]
-    docs = docs.drop(*names)
+    added = [x.split()[0] for x in COLUMNS.split(", ")]
+    docs = docs.drop(*added)
+    names = [*docs.columns, *added]
     at, settings = docs.columns.index("text"), (level, whole_bands, chunk, chunk_band, chunk_share)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _measure(batch.column(at), settings)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(judge, f"{fields}, {COLUMNS}")
+    return numbered(docs).mapInArrow(judge, f"{fields}, {COLUMNS}")

@@ -1,7 +1,7 @@
 """The operators against brute force on small tables with nulls, empty and long texts, ties and repeats."""
 
-
 import html
+from collections import Counter
 from pathlib import Path
 from urllib import parse
 
@@ -54,6 +54,35 @@ def test_empty_tables(spark, empty, tmp_path):
         assert df.count() == 0
 
 
+ODD_NAMES = ["__doc", "__body", "__gone", "__left", "__hash", "__id", "__key", "doc", "body", "gone", "row", "hash", "t", "words", "GONE_", "rows", "label", "rep", "seen", "h1", "a.b"]
+
+
+def test_names_and_rows_out_of_the_ordinary(spark, empty, tmp_path):
+    """Columns named like those the operators work with, null and equal ids, repeated rows: all come out as they went in."""
+    near = BASE.replace("w9 ", "y ")
+    rows = [(None, BASE), (None, BASE), (None, None), (3, BASE), (3, BASE), (3, near), (4, near), (5, TEXTS[8]), (6, TEXTS[9]), (6, ""), (7, None)]
+    kinds = ", ".join(f"`{n}` string" for n in ODD_NAMES)
+    df = spark.createDataFrame([(*r, "s", *ODD_NAMES) for r in rows], f"doc_id long, text string, source string, {kinds}")
+    plain = df.select("doc_id", "text", "source")
+    bag = lambda found: Counter((r.doc_id, r.text) for r in found.collect())
+    for fn in (substring.cut_repeats, mixing.mixed_documents, quality.quality, lambda x: lines.drop_repeated_lines(x, 2)):
+        found = fn(df)
+        assert found.columns[: len(df.columns)] == df.columns
+        assert all(r[n] == n for r in found.collect() for n in ODD_NAMES)
+        assert bag(found) == bag(fn(plain))
+        assert fn(empty).count() == 0
+    lost = bag(lines.drop_repeated_lines(df, 2))
+    assert lost[3, BASE] == 2 and lost[4, near] == 0 and lost[4, ""] == 1 and lost[None, BASE] == 2
+    alone = neardup.drop_near_duplicates(df, 2)
+    assert alone.columns == df.columns and bag(alone) == Counter([r[:2] for r in rows if r[0] != 4])
+    assert neardup.drop_near_duplicates(empty, 2).count() == 0
+    for fn in (packing.pack, mixing.mix_sources, pii.find_pii):
+        assert fn(df).count() == len(rows)
+    for name, table in (("odd", df), ("none", empty)):
+        coder.write_tokens(table, str(tmp_path / name))
+    assert [coder.read_tokens(spark, str(tmp_path / name)).count() for name in ("odd", "none")] == [len(rows), 0]
+
+
 def test_quality_counts(docs):
     for r in quality.quality(docs).collect():
         got = r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed
@@ -241,6 +270,31 @@ def test_substring_finds_short_passages(spark):
     assert sum(x > 0 for x in shares) >= 299 and np.mean(shares) > 0.78
 
 
+def test_substring_against_brute_force(spark, route):
+    """Rows that share a doc_id, a text or both, null ids, runs of one byte, long characters, a passage in many rows."""
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(n))
+    shared, kanji = words(70), "".join(chr(0x4E00 + c) for c in rng.integers(0, 900, 150))
+    texts = [f"{words(int(rng.integers(3, 60)))} {shared} {words(20)}" for _ in range(40)]
+    texts += [f"{words(9)}{kanji}{words(9)}{kanji}", "x" * 700, f"{words(5)} {'x' * 900}", shared, shared + shared, "", "short"]
+    rows = [*enumerate(texts), (3, texts[3]), (3, texts[5]), (3, texts[40]), (None, shared), (None, None), (77, None), (-4, texts[40])]
+    rows += [(90 + i, texts[0]) for i in range(30)] + [(90, texts[0])] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    named = [tuple(r) for r in df.selectExpr("doc_id", "xxhash64(text)", "text").collect()]
+    cut = lambda raw: brute.cuts(raw, substring.GEAR, substring.SHORTEST, substring.LONGEST, substring.REACH, substring.SHIFT)
+    want = brute.repeated_spans(named, cut, substring.MIN_SPAN)
+    got = {}
+    for r in substring.repeated_spans(df).orderBy("doc_id", "body", "start").collect():
+        got.setdefault((r.doc_id, r.body), []).append((r.start, r.end, r.n_chunks, r.first_doc_id))
+    assert len(want) > 60 and got == want
+    left = []
+    for doc, body, text in named:
+        for start, end, *_ in reversed(want.get((doc, body), [])):
+            text = text[:start] + text[end:]
+        left.append((doc, text))
+    assert Counter((r.doc_id, r.text) for r in substring.cut_repeats(df).collect()) == Counter(left)
+
+
 def test_cuts_of_odd_texts():
     for text in ("a", "ab", "é", "x" * 20, "日本" * 200, "abc" * 500, *["".join(map(chr, range(97, 98 + k))) for k in range(26)]):
         raw = text.encode()
@@ -253,15 +307,16 @@ def test_cuts_of_odd_texts():
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(400)]
-    odd = [(1000, None), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (None, [1.0] * 6), vectors[3]]
-    df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>")
+    odd = [(1000, None), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (None, [1.0] * 6)]
+    same = [(7, [2.0] * 6), (7, [2.0] * 6), (7, [-2.0] * 6), (50, [1.0, 0.0, 2.0, 0.0, 2.0, -1.0]), vectors[3]]
+    df = spark.createDataFrame(vectors + odd + same, "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, 50, shard=90, leaf=8).collect())
-    units = {i: np.floor(np.array(v) * 256).astype(int) for i, v in vectors}
+    units = [(i, np.floor(np.array(v) * 256).astype(int)) for i, v in vectors + same]
     want = []
     for q in range(0, 400, 50):
-        best = sorted((-int(units[q] @ v), i) for i, v in units.items() if i != q)[:5]
+        best = sorted((-int(u @ v), i) for j, u in units if j == q for i, v in units if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == want
+    assert got == want and sum(x[2] == 7 for x in got) > 2
 
 
 def test_components(spark):

@@ -94,3 +94,21 @@ def test_pipeline_is_its_five_stages(spark, tmp_path):
     for own in bins.values():
         own.sort()
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like those of the operators, null and equal ids, repeated rows, an empty table."""
+    names = ["kept", "ratio", "n_words", "n_dropped", "__left", "__gone", "doc", "size", "taken", "a.b", "extra0"]
+    rng = np.random.default_rng(2)
+    parts = ["ba", "lo", "min", "ter", "so", "ka", "ri", "ven", "du", "fel", "to", "gra"]
+    prose = lambda: "\n".join(" ".join("".join(rng.choice(parts, 3)) for _ in range(14)) for _ in range(9))
+    text = prose()
+    rows = [(None, text), (1, text), (1, text), (2, text + " more."), (3, None), (4, ""), (5, prose())]
+    fields = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    odd = spark.createDataFrame([(*r, "s", *names) for r in rows], fields)
+    for docs, n in ((odd, 1), (odd.limit(0), 0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, "").collect(), odd.schema)
+            assert all(r[x] == x for r in docs.collect() for x in names)
+            assert docs.count() >= n
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= n
