@@ -37,10 +37,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-def _stage(fn):
+#: Columns that stages read; all others are carried along under names that clash with nothing.
+READ = ("doc_id", "text", "source")
+
+
+def _stage(fn, keeps: bool = True):
+    """`fn` as a stage. If it `keeps` the columns of its documents, these come back under their names, in their order.
+
+    Null and empty texts, null and repeated doc_ids and an empty table are treated as the operator of the stage says.
+    """
+
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         offer(spark)
-        return fn(spark, docs, sf_dir)
+        if not keeps:
+            return fn(spark, docs, sf_dir)
+        plain = [c if c in READ else f"extra{i}" for i, c in enumerate(docs.columns)]
+        return fn(spark, docs.toDF(*plain), sf_dir).select(*plain).toDF(*docs.columns)
 
     return stage
 
@@ -50,12 +62,12 @@ STAGES = [
     ("line dedup", _stage(drop_lines)),
     ("near-duplicates", _stage(drop_near)),
     ("mixing", _stage(mix)),
-    ("packing", _stage(pack)),
+    ("packing", _stage(pack, keeps=False)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage reads what the one before has written."""
+    """All stages over `documents`; each stage reads what the one before has written. An empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     shelf = Shelf(spark)
     for i, (name, stage) in enumerate(STAGES):
