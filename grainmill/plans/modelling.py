@@ -148,6 +148,16 @@ def staged_rmse(t):
     return models.staged_errors(model, settle(fitted.transform(new).select("y", "features"), "features"))
 
 
+@query("boosted_best_count")
+def boosted_best_count(t):
+    """The curve over five folds says how many trees to grow; the model of that many scores the new rows."""
+    train, new = _rides(t)
+    fitted, features = models.prepare(models.feature_stages(*_RIDE_STAGES), train, ["id", "y", "fold", "features"])
+    model, _ = models.boosted_to_best(_gbt(stepSize=0.3, maxIter=25), features, "fold", 5)
+    scored = model.transform(fitted.transform(new))
+    return scored.select("id", "y", "prediction", F.lit(model.getNumTrees).alias("n_trees"))
+
+
 @query("early_stopping")
 def early_stopping(t):
     """Boosting stops when the error on marked validation rows stops falling."""
