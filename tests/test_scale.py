@@ -180,3 +180,20 @@ def test_rows_of_a_frequent_key_are_spread(spark, monkeypatch):
     finally:
         spark.conf.unset("grainmill.broadcast.bytes")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_many_narrow_rows_are_not_broadcast(spark):
+    """Numbered words: few bytes in files, many on the driver. Results are those of a plain join."""
+    spark.conf.set("grainmill.broadcast.rows", "30")
+    try:
+        rows = spark.createDataFrame([(i, "w0" if i % 2 else f"w{i % 60}") for i in range(400)] + [(900, None), (901, "zz")], "id long, word string")
+        known = [("w0", 207, 399), (None, 1, 900), *[(f"w{i}", 7, i) for i in range(2, 60, 2)]]
+        stats = spark.createDataFrame(known, "word string, n long, last long")
+        found = scale.attach_by_key(rows, stats, ["word"], "n", ["id"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        joins = [x for x in plan.splitlines() if "last#" in x and "Join" in x]
+        assert "SortMergeJoin" in plan and not any("BroadcastHashJoin" in x for x in joins)
+        last = {w: v for w, _, v in known}
+        assert {r.id: r.last for r in found.collect()} == {r.id: last.get(r.word) for r in rows.collect()} and found.count() == 402
+    finally:
+        spark.conf.unset("grainmill.broadcast.rows")
