@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainmill.operators import sparse, vectors
+from grainmill.operators import sparse, textmine, vectors
 
 
 def low_rank_pairs(spark, n, rank):
@@ -60,3 +60,34 @@ def test_matrix_positions(spark, route):
     assert sorted(tuple(r) for r in entries.collect()) == [
         (1, 0, 2.0), (1, 1, 4.0), (1, 3, 1.0), (1, 4, 0.5), (2, 2, 1.0), (2, 5, 0.25), (4, 0, 5.0), (4, 1, 10.0), (4, 3, 1.0),
     ]
+
+
+def test_pairs_are_made_once_for_both_directions(spark):
+    """Word counts behind the pairs are not taken twice, once per direction."""
+    texts = spark.createDataFrame([(1, "a b a c"), (2, None), (3, "b b")], "id long, text string")
+    plan = vectors.projected(textmine.cooccurrence(texts), 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(term_a") == 1
+    rows = [("a", "b", 1.0), ("b", "b", 2.0), (None, "z", 4.0)]
+    found = vectors.mirrored(spark.createDataFrame(rows, "term_a string, term_b string, weight double")).collect()
+    want = [("a", "b", 1.0), ("b", "a", 1.0), ("b", "b", 2.0), (None, "z", 4.0)]
+    assert sorted(((r.word, r.context, round(np.expm1(r.weight), 9)) for r in found), key=str) == sorted(want, key=str)
+
+
+def test_mean_vectors_shuffle_no_vector_per_word_of_a_document(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=(40, 8)).astype("float32")
+    counts = [(d if d else None, f"w{w}", int(rng.integers(1, 5))) for d in range(60) for w in rng.choice(50, 12, replace=False)]
+    words = [(f"w{w}", [float(x) for x in table[w]], 20) for w in range(40)] + [("w45", None, 3)]
+    counted = spark.createDataFrame(counts, "id long, word string, n long")
+    known = spark.createDataFrame(words, "word string, vec array<float>, doc_count long")
+    for entries in (7, 100_000):
+        monkeypatch.setattr(textmine, "BLOCK_ENTRIES", entries)
+        monkeypatch.setattr(textmine, "STEP", entries)
+        found = textmine.mean_embedding(counted, known)
+        got = {r.id: r.features.toArray() for r in found.collect()}
+        for d in {c[0] for c in counts}:
+            own = [(table[int(w[1:])].astype(float), n) for i, w, n in counts if i == d and int(w[1:]) < 40]
+            assert got[d] == pytest.approx(sum(v * n for v, n in own) / sum(n for _, n in own))
+        assert found.count() == 60
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate(keys=[id" in x]
