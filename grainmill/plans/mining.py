@@ -132,7 +132,9 @@ def _tfidf(t, norm):
     vocab = textmine.prune_vocabulary(textmine.vocabulary(w), doc_count_min=10)
     # the document count is needed twice: for the rows to spread and for the idf
     vocab = vocab.withColumn("docs", F.col("doc_count"))
-    counts = textmine.restrict_to_vocabulary(textmine.doc_term_counts(w), vocab, extra=["docs"])
+    # texts are dealt by id, so that their words need not be, neither to be counted nor to be weighed per document
+    own = w.select("id", "text").repartition("id")
+    counts = textmine.restrict_to_vocabulary(textmine.doc_term_counts(own), vocab, extra=["docs"])
     out = textmine.tfidf(counts.withColumnRenamed("docs", "doc_count"), textmine.count_of(w), norm)
     return out.withColumn("tfidf", r("tfidf"))
 

@@ -1,6 +1,7 @@
 """The building blocks against brute force, with one key holding a third of the rows."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from grainmill.operators import joins, metrics, scale, stats, textmine, windows
 from grainmill.operators.rows import filter_group_size
+from grainmill.plans import mining
+from grainmill.sources.tables import Tables
 
 
 def skewed(n=3000, seed=3):
@@ -197,3 +200,17 @@ def test_many_narrow_rows_are_not_broadcast(spark):
         assert {r.id: r.last for r in found.collect()} == {r.id: last.get(r.word) for r in rows.collect()} and found.count() == 402
     finally:
         spark.conf.unset("grainmill.broadcast.rows")
+
+
+def test_words_are_weighed_where_their_texts_are_dealt(spark, tmp_path):
+    """Texts dealt by id once: no exchange of counted words, to count them or to weigh them per document."""
+    texts = [(i, f"a b{i % 2} c{i % 3} a", "s", "en") for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    found = mining.tfidf_l2(Tables(spark, str(tmp_path)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(id" in plan and not re.search(r"Exchange hashpartitioning\(id#\d+L, word", plan)
+    assert plan.count("Exchange hashpartitioning(id") == 1
+    raw = {"a": 0.5 * np.log(61 / 61), "b0": 0.25 * np.log(61 / 31), "c0": 0.25 * np.log(61 / 21)}
+    got = {r.word: r.tfidf for r in found.where("id = 0").collect()}
+    assert got == {w: pytest.approx(v / np.sqrt(sum(x * x for x in raw.values())), abs=1e-6) for w, v in raw.items()}
