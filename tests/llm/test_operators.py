@@ -388,6 +388,20 @@ def test_ids_are_those_of_the_library(name, spaced):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_words_at_line_ends_and_before_punctuation_are_learnt_once(name, spaced):
+    """Pairs of words around a full stop and a line end are no pieces of their own, which few texts would share."""
+    words = [a + b + c for a in "bdfgklmn" for b in ("a", "\u00e9") for c in "rstz"]
+    rng = np.random.default_rng(4)
+    marks = np.array([" ", ".\n", "!?\n", ", ", ")\n", "\n"])
+    texts = ["".join(f"{rng.choice(words)}{rng.choice(marks)}" for _ in range(300)) + "end" for _ in range(40)]
+    path = public_tokenizers.path(name)
+    library, own = Tokenizer.from_file(path), tokens.Encoder(path, spaced)
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(own.known) + len(own.older) <= 4 * len(words)
+
+
 def test_words_of_two_letters_in_the_order_of_thue_and_morse_differ(spark):
     """Hashes modulo a power of two agree on such words, whatever their base."""
     rows = []
