@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at once; bounds the arrays that a step makes, whatever the size of an Arrow batch.
-STEP_BYTES = 2 << 20
+#: Bytes of text worked on at once; bounds the arrays that a step makes, whatever the size of an Arrow batch, and the tables
+#: that a worker keeps: hashes take some 70 bytes for each of them.
+STEP_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -79,8 +80,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def steps(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index of the first text, bytes, offsets) of successive stretches of about STEP_BYTES; null is empty."""
+def steps(texts: pa.Array, size: int = STEP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, bytes, offsets) of successive stretches of about `size` bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -92,7 +93,7 @@ def steps(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(chars, np.uint8) if chars is not None and chars.size else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + STEP_BYTES, "right")) - 1
+        j = int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1
         j = min(n, max(j, i + 1))
         yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j

@@ -31,6 +31,8 @@ _LETTER[[x for x in range(0x80) if chr(x).isalpha()]] = True
 _INNER[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
 #: Pieces that one call encodes.
 TOGETHER = 2000
+#: Bytes of text whose equal pieces are found together.
+STRETCH = 2 << 20
 _encoders: dict = {}
 
 
@@ -233,5 +235,5 @@ def encoder(path: str, spaced: bool) -> Encoder:
 
 def encoded(texts: pa.Array, coder: Encoder) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, ids) of successive stretches of a batch; null is empty."""
-    for at, data, offsets in steps(texts):
+    for at, data, offsets in steps(texts, STRETCH):
         yield at, coder.ids(data, offsets)

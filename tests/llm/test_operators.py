@@ -11,7 +11,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from grainmill.llm import coder, components, lines, mixing, neardup, packing, pii, quality, substring, tokens, topk, urls
+from grainmill.llm import coder, components, lines, mixing, neardup, packing, pii, quality, substring, text, tokens, topk, urls
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, source string, kept string, `n lines` string"
@@ -402,6 +402,15 @@ def test_words_at_line_ends_and_before_punctuation_are_learnt_once(name, spaced)
     assert len(own.known) + len(own.older) <= 4 * len(words)
 
 
+def test_hashing_many_texts_leaves_small_tables(monkeypatch):
+    """What a worker keeps for hashes follows the longest text beyond a stretch, not the batch."""
+    monkeypatch.setattr(text, "_tables", [(np.ones(1, np.uint32), np.ones(1, np.uint32)) for _ in text._PRIMES])
+    texts = pa.array([f"{i} " + "one two three four five six " * 200 for i in range(600)])
+    sets = dict(neardup.shingle_sets(texts, 5))
+    assert [len(sets[i]) for i in range(600)] == [7] * 600
+    assert sum(y.nbytes for x in text._tables for y in x) <= 16 << 20
+
+
 def test_words_of_two_letters_in_the_order_of_thue_and_morse_differ(spark):
     """Hashes modulo a power of two agree on such words, whatever their base."""
     rows = []
