@@ -4,7 +4,8 @@ Ids are cut into blocks of equal length that share nothing, so all blocks of a s
 one array operation for all of them per step. In each block an order-2 and an order-1 table predict the next
 id, with a confidence; what both miss is coded by an adaptive order-0 distribution over ranges of ranks: a
 segment lists its frequent ids, most frequent first, and ids are coded as their place in that list. How much of
-the code space each prediction gets is learnt for every combination of confidences. All numbers are integers.
+the code space each prediction gets is learnt for every combination of confidences, step by step; the order-0
+distribution learns after every `PERIOD` steps. All numbers are integers.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ END = 0
 #: Ids of a block, and of a segment (one row of the file) at least, unless it is the last of its partition.
 BLOCK = 4096
 SEGMENT = 1 << 23
-MAGIC = b"MIXC"
+MAGIC = b"MIXD"
 #: Sizes of the order-1 and order-2 tables of a block, in bits.
 BITS1, BITS2 = 11, 12
 #: Code space of a step; the least of it that the order-0 model keeps.
@@ -37,18 +38,20 @@ SPACE, LEAST = 1 << 16, 2048
 RATE, RATE0 = 4, 5
 #: Order-0 distribution: ranges of ranks, each a power of two wide, and the total of its weights.
 RANGES, TOTAL_BITS = 19, 11
+#: Steps after which the order-0 distribution learns what it coded in them.
+PERIOD = 16
 #: An id found so often in a segment has a rank; others are coded as themselves, after the ranks.
 RANKED = 4
 
 u32, u64 = np.uint32, np.uint64
-_TOP, _BOTTOM = u64(1 << 48), u64(1 << 32)
-
-
-def _range_of(ranks: np.ndarray) -> np.ndarray:
-    """Number of the range a rank is in: the bit length of what follows it, less one."""
-    return (np.frexp((ranks.astype(np.int32) + 1).astype(float))[1] - 1).astype(np.intp)
+#: Of the types of the arrays they meet, so that those stay as narrow.
+_FULL, _ONE, _TWO, _THREE = np.int32(SPACE - 1), u32(1), u32(2), u32(3)
+#: A coder whose width falls below this gives off, or takes in, a word of 16 bits.
+_LEAST_WIDTH = u64(1 << 48)
 
 
+#: Number of the range a rank is in: the bit length of what follows it, less one.
+RANGE_OF = np.repeat(np.arange(RANGES), 1 << np.arange(RANGES))[: 1 << (RANGES - 1)].astype(np.intp)
 #: First rank and bits of each range.
 FIRST = ((1 << np.arange(RANGES)) - 1).astype(u32)
 WIDE = np.arange(RANGES).astype(u64)
@@ -69,14 +72,23 @@ class Model:
         self.states, self.rows1, self.rows2 = self.at << 4, self.at << BITS1, self.at << BITS2
         even = np.arange(RANGES + 1) * (1 << TOTAL_BITS) // RANGES
         self.cdf = np.repeat(even.astype(np.int32)[:, None], lanes, 1)
+        self.seen, self.step = np.full((PERIOD, lanes), RANGES, np.int8), 0
         self.c1 = np.zeros(lanes, u32)
         self.c2 = np.zeros(lanes, u32)
         self.steps = np.arange(RANGES + 1, dtype=np.int32)[:, None]
+        self.settle()
+
+    def settle(self) -> None:
+        """Starts of ranges in a space of 1 << TOTAL_BITS, where every range keeps at least 1."""
+        self.starts = (((self.cdf * ((1 << TOTAL_BITS) - RANGES)) >> TOTAL_BITS) + self.steps).astype(np.int16)
+        self.flat = self.starts.reshape(-1)
 
     def shrink(self, lanes: int) -> None:
         """From now on only the first `lanes` blocks go on."""
         self.lanes = lanes
         self.at, self.cdf = self.at[:lanes], np.ascontiguousarray(self.cdf[:, :lanes])
+        self.seen = np.ascontiguousarray(self.seen[:, :lanes])
+        self.settle()
         self.c1, self.c2 = self.c1[:lanes], self.c2[:lanes]
         self.states, self.rows1, self.rows2 = self.states[:lanes], self.rows1[:lanes], self.rows2[:lanes]
 
@@ -87,34 +99,41 @@ class Model:
         self.i1 = self.rows1 + h1
         self.i2 = self.rows2 + h2
         e1, e2 = self.t1[self.i1], self.t2[self.i2]
-        self.k1, self.k2 = e1 & u32(3), e2 & u32(3)
-        self.p1, self.p2 = e1 >> u32(2), e2 >> u32(2)
-        alike = (self.p1 == self.p2) & (self.k2 > 0)
-        self.told1 = (self.k1 > 0) & ~alike
+        self.k1, self.k2 = e1 & _THREE, e2 & _THREE
+        self.p1, self.p2 = e1 >> _TWO, e2 >> _TWO
         told2 = self.k2 > 0
-        self.state = self.states + (self.k2 << u32(2)) + self.k1 * self.told1
+        told1 = (self.k1 > 0) & ~((self.p1 == self.p2) & told2)
+        self.state = self.states + ((self.k2 << _TWO) + self.k1 * told1)
         self.a, self.b = self.w2[self.state], self.w1[self.state]
         room = SPACE - LEAST
         self.f2 = ((self.a * (room >> 4)) >> 12) * told2
-        self.f1 = ((self.b * ((room - self.f2) >> 4)) >> 12) * self.told1
+        self.f1 = ((self.b * ((room - self.f2) >> 4)) >> 12) * told1
         self.f0 = SPACE - self.f2 - self.f1
-        self.told2 = told2
 
-    def bounds(self, cdf: np.ndarray, f0: np.ndarray, steps) -> np.ndarray:
-        """Places of range starts inside the order-0 space; every range keeps at least 1."""
-        return (((f0 - RANGES) * cdf) >> TOTAL_BITS) + steps
+    def bounds(self, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the given ranges start and end in the order-0 space, which is at least 1 << TOTAL_BITS."""
+        at = ranges * self.lanes + self.at
+        return (self.f0 * self.flat[at]) >> TOTAL_BITS, (self.f0 * self.flat[at + self.lanes]) >> TOTAL_BITS
+
+    def ranges_at(self, places: np.ndarray) -> np.ndarray:
+        """Ranges that hold places of the order-0 space."""
+        last = ((((places + 1) << TOTAL_BITS) - 1) / self.f0).astype(np.int16)
+        return (self.starts[1:-1] <= last).view(np.int8).sum(0, dtype=np.int8).astype(np.intp)
 
     def learn(self, ids: np.ndarray, ranges: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.w2[self.state] = self.a + (((hit2 * (SPACE - 1) - self.a) >> RATE) * self.told2)
-        self.w1[self.state] = self.b + (((hit1 * (SPACE - 1) - self.b) >> RATE) * (self.told1 & ~hit2))
+        # a weight of a state without that prediction is never read
+        self.w2[self.state] = self.a + ((hit2 * _FULL - self.a) >> RATE)
+        self.w1[self.state] = self.b + (((hit1 * _FULL - self.b) >> RATE) * ~hit2)
         for table, i, k, p in ((self.t1, self.i1, self.k1, self.p1), (self.t2, self.i2, self.k2, self.p2)):
-            table[i] = (np.where(k > 1, p, ids) << u32(2)) | NEXT[k + ((p == ids) << 2)]
-        goal = (self.steps > ranges).astype(np.int32) << TOTAL_BITS
-        goal -= self.cdf
-        goal >>= RATE0
-        goal *= ~(hit2 | hit1)
-        self.cdf += goal
-        self.cdf[0], self.cdf[-1] = 0, 1 << TOTAL_BITS
+            table[i] = (np.where(k > _ONE, p, ids) << _TWO) | NEXT[k + (p == ids) * u32(4)]
+        self.seen[self.step] = np.where(hit2 | hit1, RANGES, ranges)
+        self.step += 1
+        if self.step == PERIOD:
+            counts = np.array([(self.seen == r).view(np.int8).sum(0, dtype=np.int8) for r in range(RANGES)])
+            sums = np.cumsum(counts, 0, dtype=np.int32)
+            self.cdf[1:-1] += ((sums[:-1] << TOTAL_BITS) - sums[-1] * self.cdf[1:-1]) >> RATE0
+            self.step = 0
+            self.settle()
         self.c2, self.c1 = self.c1, ids
 
 
@@ -123,52 +142,51 @@ def compress(blocks: np.ndarray, last: int) -> list[bytes]:
     lanes, length = blocks.shape
     model = Model(lanes)
     low, width = np.zeros(lanes, u64), np.full(lanes, (1 << 64) - 1, u64)
-    out = np.zeros((lanes, 2 * length + 8), "<u2")
-    size = np.zeros(lanes, np.intp)
+    stride = 2 * length + 8
+    # words of 16 bits, and what is carried over into them
+    out = np.zeros(lanes * stride, u32)
+    at = np.arange(lanes) * stride
     columns = np.ascontiguousarray(blocks.T.astype(u32))
-    all_ranges = _range_of(columns)
-
-    def spill(low, width, at):
-        for _ in range(4):
-            settled = (low ^ (low + width)) < _TOP
-            move = np.flatnonzero(settled | (width < _BOTTOM))
-            if not len(move):
-                break
-            l, w = low[move], width[move]
-            w = np.where(settled[move], w, (u64(0) - l) & (_BOTTOM - u64(1)))
-            out[at[move], size[move]] = l >> u64(48)
-            size[move] += 1
-            low[move], width[move] = l << u64(16), w << u64(16)
 
     for t in range(length):
         if t == last and last < length:
             if lanes == 1:
                 break
             model.shrink(lanes - 1)
-            low_last, low, width = low[-1], low[:-1].copy(), width[:-1].copy()
-        ids, ranges = columns[t, : model.lanes], all_ranges[t, : model.lanes]
+            low_last, at_last = low[-1], at[-1]
+            low, width, at = low[:-1].copy(), width[:-1].copy(), at[:-1].copy()
+        ids = columns[t, : model.lanes]
+        ranges = RANGE_OF[ids]
         model.predict()
         hit2 = (ids == model.p2) & (model.f2 > 0)
         hit1 = (ids == model.p1) & (model.f1 > 0) & ~hit2
-        cdf = model.cdf[ranges, model.at], model.cdf[ranges + 1, model.at]
-        start0 = model.f2 + model.f1 + model.bounds(cdf[0], model.f0, ranges)
-        end0 = model.f2 + model.f1 + model.bounds(cdf[1], model.f0, ranges + 1)
-        start = np.where(hit2, 0, np.where(hit1, model.f2, start0)).astype(u64)
-        end = np.where(hit2, model.f2, np.where(hit1, model.f2 + model.f1, end0)).astype(u64)
-        bits = np.where(hit2 | hit1, u64(0), WIDE[ranges])
-        offset = np.where(hit2 | hit1, u32(0), ids - FIRST[ranges]).astype(u64)
+        base, place = model.f2 + model.f1, model.bounds(ranges)
+        start = np.where(hit2, 0, np.where(hit1, model.f2, base + place[0])).astype(u64)
+        end = np.where(hit2, model.f2, np.where(hit1, base, base + place[1])).astype(u64)
+        miss = ~(hit2 | hit1)
+        bits = WIDE[ranges * miss]
+        offset = ((ids - FIRST[ranges]) * miss).astype(u64)
         part = width >> u64(16)
-        low += part * start
         width = (part * (end - start)) >> bits
-        low += width * offset
-        spill(low, width, model.at)
+        low += (added := part * start + width * offset)
+        over = np.flatnonzero(low < added)
+        out[at[over] - 1] += u32(1)
+        move = np.flatnonzero(width < _LEAST_WIDTH)
+        while len(move):
+            l, w, to = low[move], width[move] << u64(16), at[move]
+            out[to] = l >> u64(48)
+            low[move], width[move], at[move] = l << u64(16), w, to + 1
+            move = move[w < _LEAST_WIDTH]
         model.learn(ids, ranges, hit2, hit1)
     if last < length and lanes > 1:
-        low = np.append(low, low_last)
+        low, at = np.append(low, low_last), np.append(at, at_last)
     for shift in (48, 32, 16, 0):
-        out[np.arange(lanes), size] = (low >> u64(shift)) & u64(0xFFFF)
-        size += 1
-    return [out[i, : size[i]].tobytes() for i in range(lanes)]
+        out[at] = (low >> u64(shift)) & u64(0xFFFF)
+        at += 1
+    while len(over := np.flatnonzero(out >> u32(16))):
+        out[over] &= u32(0xFFFF)
+        out[over - 1] += u32(1)
+    return [out[i * stride : end].astype("<u2").tobytes() for i, end in enumerate(at.tolist())]
 
 
 def expand(codes: list[bytes], length: int, last: int) -> np.ndarray:
@@ -176,52 +194,47 @@ def expand(codes: list[bytes], length: int, last: int) -> np.ndarray:
     lanes = len(codes)
     model = Model(lanes)
     longest = max(map(len, codes)) // 2
-    words = np.zeros((lanes, longest + 8), u64)
+    words = np.zeros((lanes, longest + 8), "<u2")
     for i, code in enumerate(codes):
         words[i, : len(code) // 2] = np.frombuffer(code, "<u2")
-    low, width = np.zeros(lanes, u64), np.full(lanes, (1 << 64) - 1, u64)
-    code, size = np.zeros(lanes, u64), np.full(lanes, 4, np.intp)
+    # `code` counts from the low end of the coder's width
+    width, code = np.full(lanes, (1 << 64) - 1, u64), np.zeros(lanes, u64)
     for i in range(4):
         code = (code << u64(16)) | words[:, i]
+    at = np.arange(lanes) * words.shape[1] + 4
+    words = words.reshape(-1)
     out = np.zeros((length, lanes), u32)
     for t in range(length):
         if t == last and last < length:
             if lanes == 1:
                 break
             model.shrink(lanes - 1)
-            low, width, code, size = low[:-1].copy(), width[:-1].copy(), code[:-1].copy(), size[:-1].copy()
+            width, code, at = width[:-1].copy(), code[:-1].copy(), at[:-1].copy()
         model.predict()
         part = width >> u64(16)
-        value = np.minimum((code - low) // part, u64(SPACE - 1)).astype(np.int32)
+        value = np.minimum(code // part, u64(SPACE - 1)).astype(np.int32)
         hit2 = value < model.f2
         base = model.f2 + model.f1
         hit1 = ~hit2 & (value < base)
-        places = model.bounds(model.cdf, model.f0, model.steps)
-        below = (places <= value - base).view(np.int8).sum(0, dtype=np.int8)
-        ranges = np.clip(below.astype(np.intp) - 1, 0, RANGES - 1)
-        place = places[ranges, model.at], places[ranges + 1, model.at]
+        ranges = model.ranges_at(value - base)
+        place = model.bounds(ranges)
         start = np.where(hit2, 0, np.where(hit1, model.f2, base + place[0])).astype(u64)
         end = np.where(hit2, model.f2, np.where(hit1, base, base + place[1])).astype(u64)
         hit = hit2 | hit1
-        bits = np.where(hit, u64(0), WIDE[ranges])
-        low += part * start
+        bits = WIDE[ranges * ~hit]
+        code -= part * start
         width = (part * (end - start)) >> bits
-        offset = np.minimum((code - low) // width, (u64(1) << bits) - u64(1))
+        offset = np.minimum(code // width, (u64(1) << bits) - u64(1))
         offset[hit] = 0
-        low += width * offset
+        code -= width * offset
         ids = np.where(hit2, model.p2, np.where(hit1, model.p1, FIRST[ranges] + offset.astype(u32)))
         out[t, : model.lanes] = ids
-        ranges = np.where(hit, _range_of(ids), ranges)
-        for _ in range(4):
-            settled = (low ^ (low + width)) < _TOP
-            move = np.flatnonzero(settled | (width < _BOTTOM))
-            if not len(move):
-                break
-            l, w = low[move], width[move]
-            w = np.where(settled[move], w, (u64(0) - l) & (_BOTTOM - u64(1)))
-            code[move] = (code[move] << u64(16)) | words[move, size[move]]
-            size[move] += 1
-            low[move], width[move] = l << u64(16), w << u64(16)
+        move = np.flatnonzero(width < _LEAST_WIDTH)
+        while len(move):
+            w, to = width[move] << u64(16), at[move]
+            code[move] = (code[move] << u64(16)) | words[to]
+            width[move], at[move] = w, to + 1
+            move = move[w < _LEAST_WIDTH]
         model.learn(ids, ranges, hit2, hit1)
     flat = np.ascontiguousarray(out.T).reshape(-1)
     return flat[: (lanes - 1) * length + last]
@@ -338,7 +351,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     parts = parts.select("part", before(Window.orderBy("part")).alias("base"))
     inside = before(Window.partitionBy("part").orderBy("segment")).alias("inside")
-    bases = sizes.select("part", "segment", inside).join(parts, "part").selectExpr("part", "segment", "base + inside as base")
+    bases = sizes.select("part", "segment", inside).join(F.broadcast(parts), "part").selectExpr("part", "segment", "base + inside as base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,6 +377,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     kinds = "part int, segment int, doc_id long, inside long, n_tokens long, ids binary"
     found = stored.select("part", "segment", "payload").mapInArrow(run, kinds)
-    return found.join(bases, ["part", "segment"]).select(
+    # One row per segment: the decoded ids stay where they are.
+    return found.join(F.broadcast(bases), ["part", "segment"]).select(
         "doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids"
     )
